@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, simhash
 from .common import table
 
 
@@ -13,8 +13,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op3_simhash": op3_simhash}
+    return {f.__name__: f for f in (op3_simhash, op6_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
