@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, simhash
+from . import bpe, decontaminate, lines, simhash, toxicity
 from .common import table
 
 
@@ -29,8 +29,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("found") > 0).alias("contaminated"), F.size("found").cast("long").alias("n_items"), best["item_id"].alias("best_item_id"), best["coverage"].alias("best_coverage"), F.size(best["tiles"]).cast("long").alias("n_tiles"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op3_simhash, op6_bpe, op8_decontaminate)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_simhash, op6_bpe, op8_decontaminate, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
