@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, simhash, toxicity
-from .common import table
+from . import bpe, decontaminate, html_extract, lines, shards, simhash, token_counts, toxicity
+from .common import scratch_path, table
+
+
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +22,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"))
 
@@ -33,8 +41,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the last version of the store has it: its run, its shard, and its text's length as read back."""
+    store = shards.store_in_arrivals(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
+    return store.placed().select("doc_id", "run", "shard", "version", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("text_hash"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op3_simhash, op6_bpe, op8_decontaminate, op9_toxicity)}
+    return {f.__name__: f for f in (op1_html, op2_line_dedup, op3_simhash, op4_token_counts, op6_bpe, op8_decontaminate, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
