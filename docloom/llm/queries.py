@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, lines, shards, simhash, token_counts, toxicity
+from . import bpe, decontaminate, embeddings, html_extract, lines, shards, simhash, token_counts, toxicity
 from .common import scratch_path, table
 
 
@@ -30,6 +30,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: whether it is contaminated, and by what."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -48,7 +52,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html, op2_line_dedup, op3_simhash, op4_token_counts, op6_bpe, op8_decontaminate, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_html, op2_line_dedup, op3_simhash, op4_token_counts, op6_bpe, op7_embeddings, op8_decontaminate, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
