@@ -80,7 +80,7 @@ atexit.register(release_scratch)
 
 def input_bytes(df: DataFrame) -> int:
     """The planner's estimate of df's size; for a scan, the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, html_extract, lines, shards, simhash, token_counts, toxicity
+from . import bpe, decontaminate, embeddings, html_extract, language_model, lines, shards, simhash, token_counts, toxicity
 from .common import scratch_path, table
 
 
@@ -26,6 +26,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html, op2_line_dedup, op3_simhash, op4_token_counts, op6_bpe, op7_embeddings, op8_decontaminate, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_html, op2_line_dedup, op3_simhash, op4_token_counts, op5_lm, op6_bpe, op7_embeddings, op8_decontaminate, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
