@@ -49,14 +49,14 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) of every document; fp is a signed 64-bit integer."""
+    """(doc_id, fp, text_hash) of every document; fp is a signed 64-bit integer, text_hash tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             fps = np.fromiter((fingerprint(t, width) for t in text_rows(batch)), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return as_binary(docs).mapInArrow(run, "doc_id long, fp long")
+    return as_binary(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _variants(distinct: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def ball_pairs(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs(doc_id, text).
+    """(doc_id, fp, component_id, text_hash) of every row of docs(doc_id, text).
 
     component_id is the least doc_id reachable over links of 2 or fewer bits, the document itself
     included. Null and empty texts have fingerprint 0 and are linked like any other; repeated rows
@@ -101,7 +101,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     salt = F.pmod(F.xxhash64("root"), F.lit(65_521))
     by_fp = save(rooted.withColumn("k", salt).join(named.withColumn("k", salt), ["root", "k"]).select("fp", "component_id"), "by_fp")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", "text_hash")
 
 
 def hex_fingerprint(fp: str = "fp"):
@@ -111,8 +111,10 @@ def hex_fingerprint(fp: str = "fp"):
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """The rows of docs whose doc_id is the least of its group: one document of each group stays.
 
-    Of rows that repeat a doc_id, all stay or go together. Rows with a null doc_id are kept: nothing
-    says which of them to drop.
+    Rows that repeat both a doc_id and its text are one document, and stay or go together. Rows with
+    a null doc_id are kept: nothing says which of them to drop. Only the ids that go are joined, so
+    texts are not shuffled while these are few.
     """
-    kept = near_duplicates(docs.where(F.col("doc_id").isNotNull()), width).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    h = F.xxhash64(F.col("text").cast("binary"))
+    gone = near_duplicates(docs, width).where("doc_id > component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(gone, (docs["doc_id"] == F.col("__id")) & (h == F.col("__hash")), "left_anti")
