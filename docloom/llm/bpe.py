@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import as_binary, small_batches, text_rows
 
 #: Most pieces and token pairs that a process remembers; beyond it the memory is emptied and fills again.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def default_ranks() -> str:
@@ -284,33 +284,30 @@ def text_encoder(ranks_path: str | None = None, pattern: str | None = None) -> T
     return _encoders[key]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, ids binary, decoded binary) of docs(doc_id, text): ids as little-endian unsigned 32-bit integers.
+def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, keep_ids: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of docs(doc_id, text).
 
-    Null and empty texts have no ids. Repeated rows give repeated rows; a null doc_id is passed on.
-    Nothing is shuffled; a task holds one small batch of texts, or one long text.
+    ids are little-endian unsigned 32-bit integers in one binary; keep_ids = False leaves the column
+    out. The digests are of the ids and of what decoding them gives, and are taken where both are
+    made, so that decoded bytes never leave the worker. Null and empty texts have no ids. Repeated
+    rows give repeated rows; a null doc_id is passed on. Nothing is shuffled; a task holds one small
+    batch of texts, or one long text.
     """
+    names = ["doc_id", "n_tokens", *["ids"] * keep_ids, "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(ranks_path, pattern)
-        for batch in small_batches(batches):
+        sha = hashlib.sha256
+        for batch in small_batches(batches, limit=1 << 20):
             ids = [encoder.packed((t or b"").decode()) for t in text_rows(batch)]
-            back = [encoder.unpacked(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
+            back = [sha(encoder.unpacked(x)).hexdigest() for x in ids]
+            kept = [pa.array(ids, pa.binary())] if keep_ids else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *kept, pa.array([sha(x).hexdigest() for x in ids]), pa.array(back)], names)
 
-    return as_binary(docs).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    schema = "doc_id long, n_tokens long, " + "ids binary, " * keep_ids + "ids_sha256 string, decoded_sha256 string"
+    return as_binary(docs).mapInArrow(run, schema)
 
 
 def encoding_digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the digests of encode_documents' columns, taken where they are made."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(ranks_path, pattern)
-        sha = hashlib.sha256
-        for batch in small_batches(batches):
-            ids = [encoder.packed((t or b"").decode()) for t in text_rows(batch)]
-            back = [sha(encoder.unpacked(x)).hexdigest() for x in ids]
-            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids]), pa.array(back)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return as_binary(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    return encode_documents(docs, ranks_path, pattern, keep_ids=False)
