@@ -179,6 +179,15 @@ def _is_of(parsed: Column, rules: DocumentRules) -> Column:
     return F.coalesce(T.full_match(value, number.regex) if number.regex else value != "", F.lit(False))
 
 
+def _first_fit(payloads: Column, parse: Callable[[Column], Column], rules: DocumentRules, names: Iterable[str]) -> Column:
+    parsed = F.transform(payloads, parse)
+    return _first(F.transform(parsed, lambda m: F.when(_is_of(m, rules), only(m, names))))
+
+
+def _missing_from(codes: Column, new: Column) -> Column:
+    return F.map_filter(new, lambda k, v: ~F.map_contains_key(codes, k))
+
+
 def identify(payloads: Column, hint: Column | None = None, rules: Iterable[DocumentRules] | None = None) -> Column:
     """struct<doc_type, codes> of the first type whose codes alone make a document up; null if none does. A hinted type is tried first."""
     rules = [r for r in (builtin_rules() if rules is None else rules) if r.structured_complete]
@@ -186,8 +195,7 @@ def identify(payloads: Column, hint: Column | None = None, rules: Iterable[Docum
     for r in rules:
         for c in r.structured:
             if c.kind == "qr" and c.parser in QR_PARSERS:
-                parse = QR_PARSERS[c.parser]
-                fit = _first(F.transform(payloads, lambda p, parse=parse, r=r, c=c: F.when(_is_of(parse(p), r), only(parse(p), c.maps_to))))
+                fit = _first_fit(payloads, QR_PARSERS[c.parser], r, c.maps_to)
                 tries.append((r.doc_type, F.when(fit.isNotNull(), F.struct(F.lit(r.doc_type).alias("doc_type"), fit.cast(MAP).alias("codes")))))
     if not tries:
         return F.lit(None).cast(f"struct<doc_type:string,codes:{MAP}>")
@@ -214,7 +222,7 @@ def read(doc_type: Column, payloads: Column, texts: Column, rules: Iterable[Docu
                 parsed = F.when(td3_checks(lines), td3(lines)) if zone == "td3" else F.when(td1_checks(lines), td1(lines))
             else:
                 continue
-            new = F.map_filter(F.coalesce(only(parsed, c.maps_to), F.create_map().cast(MAP)), lambda k, v, codes=codes: ~F.map_contains_key(codes, k))
+            new = _missing_from(codes, F.coalesce(only(parsed, c.maps_to), F.create_map().cast(MAP)))
             kinds = F.when((F.size(new) > 0) & ~F.array_contains(kinds, c.kind), F.concat(kinds, F.array(F.lit(c.kind)))).otherwise(kinds)
             codes = F.map_concat(codes, new)
         out = F.when(doc_type == r.doc_type, F.struct(codes.alias("codes"), kinds.alias("kinds"))).otherwise(out)
@@ -222,4 +230,5 @@ def read(doc_type: Column, payloads: Column, texts: Column, rules: Iterable[Docu
 
 
 def merge_first_wins(maps: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: F.map_concat(a, F.map_filter(b, lambda k, v, a=a: ~F.map_contains_key(a, k))), maps)
+    """One map of several; the first that has a key decides its value."""
+    return reduce(lambda a, b: F.map_concat(a, _missing_from(a, b)), maps)
