@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import documents, kernels
+from docloom.plans import documents, kernels, relational
 
-_MODULES = (kernels, documents)
+_MODULES = (kernels, documents, relational)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
