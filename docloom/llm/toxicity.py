@@ -115,10 +115,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Model
     if toxic in (0, n):
         prior = (toxic + 1) / (n + 2)
         return Model(settings, keep, np.zeros(1), float(np.log(prior / (1 - prior))) if n else -3.0, np.zeros(1), np.zeros((1, settings.factors)))
-    sizes = np.array([len(r) for r in rows])
-    row, bucket = np.repeat(np.arange(n), sizes), np.concatenate(rows).astype(np.int64)
-    seen = np.bincount(bucket, minlength=len(keep))
-    with_label = np.bincount(bucket, labels[row], len(keep))
+    seen, with_label = np.zeros(len(keep)), np.zeros(len(keep))
+    for own, label in zip(rows, labels, strict=True):  # a row's buckets are distinct
+        seen[own] += 1
+        with_label[own] += label
     share = toxic / n
     telling = np.where(seen >= settings.least_rows, np.abs(with_label - seen * share) / np.sqrt(seen * share * (1 - share) + 1e-9), -1)
     most_telling = np.argsort(-telling, kind="stable")[: settings.features]
@@ -126,9 +126,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Model
     chosen = np.union1d(most_telling[telling[most_telling] >= settings.least_z], most_frequent[seen[most_frequent] >= settings.least_rows])
     keep[chosen] = np.arange(len(chosen))
     x = np.log((n + 1) / (seen[chosen] + 1)) / np.log(n + 1)
-    feature = keep[bucket]
-    row, feature = row[feature >= 0], feature[feature >= 0].astype(np.int64)
-    first = np.searchsorted(row, np.arange(n + 1))
+    kept = [f[f >= 0] for f in (keep[own] for own in rows)]
+    first = np.concatenate([[0], np.cumsum([len(f) for f in kept])])
+    feature = np.concatenate(kept).astype(np.int64)
 
     rng = np.random.default_rng(settings.seed)
     k, m = settings.factors, max(1, len(chosen))
@@ -193,8 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "toxic", "buckets"])
 
     rows = training_rows(docs, labels, settings).select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, buckets binary").toArrow()
-    taken = sorted(zip(rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), rows["buckets"].to_pylist(), strict=True))
-    return fit([np.frombuffer(b, "<u4") for _, _, b in taken], np.array([t for _, t, _ in taken], float), settings)
+    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    buckets = [np.frombuffer(b.as_buffer(), "<u4") for b in rows["buckets"]]
+    return fit(buckets, rows["toxic"].to_numpy().astype(float), settings)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
