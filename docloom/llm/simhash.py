@@ -24,24 +24,30 @@ BITS = 64
 _ROWS = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """The signed 64-bit SimHash of a text's word shingles; 0 for a text without words (or null).
+def shingle_hashes(text: bytes | None, width: int) -> bytes:
+    """The XXH64 values (seed 42, 8 bytes each) of a text's word shingles, repeats included; none for a text without words.
 
-    A bit is set if more than half of the shingles' XXH64 values (seed 42) have it. Repeated shingles
-    count as often as they occur; a text of fewer than `width` words is one shingle.
+    A text of fewer than `width` words is one shingle.
     """
     words = (text or b"").translate(ASCII_LOWER).split()
     if not words:
-        return 0
+        return b""
     flat, digest = b" ".join(words), xxhash.xxh64_digest
     if len(words) <= width:
-        hashes = digest(flat, SEED)
-    else:
-        gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
-        starts = [0, *(gaps[: len(words) - width] + 1).tolist()]
-        ends = [*gaps[width - 1 :].tolist(), len(flat)]
-        hashes = b"".join([digest(flat[a:b], SEED) for a, b in zip(starts, ends, strict=True)])
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+        return digest(flat, SEED)
+    gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+    starts = [0, *(gaps[: len(words) - width] + 1).tolist()]
+    ends = [*gaps[width - 1 :].tolist(), len(flat)]
+    return b"".join([digest(flat[a:b], SEED) for a, b in zip(starts, ends, strict=True)])
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """The signed 64-bit SimHash of a text's word shingles; 0 for a text without words (or null).
+
+    A bit is set if more than half of the shingles' XXH64 values (seed 42) have it. Repeated shingles
+    count as often as they occur; a text of fewer than `width` words is one shingle.
+    """
+    rows = np.frombuffer(shingle_hashes(text, width), np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(rows), _ROWS):
         ones += np.unpackbits(rows[at : at + _ROWS], axis=1).sum(axis=0, dtype=np.int64)
@@ -96,7 +102,12 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """
     fps = save(fingerprints(docs, width), "fps")
     distinct = save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    nodes = connected_components(ball_links(distinct)).withColumnRenamed("node", "fp")
+    return named_groups(fps, distinct, connected_components(ball_links(distinct)))
+
+
+def named_groups(fps: DataFrame, distinct: DataFrame, components: DataFrame) -> DataFrame:
+    """fps(doc_id, fp, text_hash) with component_id, the least first_id of distinct(fp, first_id) in the fp's component(node, component)."""
+    nodes = components.withColumnRenamed("node", "fp")
     rooted = save(distinct.join(nodes, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     salt = F.pmod(F.xxhash64("root"), F.lit(65_521))
@@ -115,6 +126,11 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     a null doc_id are kept: nothing says which of them to drop. Only the ids that go are joined, so
     texts are not shuffled while these are few.
     """
+    return keep_least(docs, near_duplicates(docs, width))
+
+
+def keep_least(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is their group's component_id in near(doc_id, component_id, text_hash), or null."""
     h = F.xxhash64(F.col("text").cast("binary"))
-    gone = near_duplicates(docs, width).where("doc_id > component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    gone = near.where("doc_id > component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     return docs.join(gone, (docs["doc_id"] == F.col("__id")) & (h == F.col("__hash")), "left_anti")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, components, decontaminate, embeddings, html_extract, language_model, lines, shards, simhash, token_counts, toxicity
+from docloom.llm import bpe, components, decontaminate, embeddings, html_extract, language_model, lines, shards, similar, simhash, token_counts, toxicity
 from docloom.llm.common import scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -125,6 +125,46 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs_of(spark, [])).count() == 0
 
 
+def brute_similar(texts):
+    """The component (its least place) of each text, by comparing all pairs of sets of five-word shingles."""
+    words = [t.lower().split() for t in texts]
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    return roots(len(sets), [(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) if 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j]))])
+
+
+def edited_copies():
+    """Texts of all lengths, each with copies of more and more changed words; and a family that shares a long passage."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    texts = []
+    for _ in range(30):
+        base = [word() for _ in range(rnd.randint(1, 150))]
+        for changes in (0, 0, 1, 2, 3, 5, 8):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rnd.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    passage = [word() for _ in range(90)]
+    texts += [" ".join(passage + [word() for _ in range(k % 40)]) for k in range(100)]
+    rnd.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("leaders", [(1, 8, 64), (1, 2, 3)])
+def test_similar_is_exact(spark, monkeypatch, leaders):
+    monkeypatch.setattr(similar, "LEADERS", leaders)
+    texts = edited_copies()
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs_of(spark, [(i, t, "h") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_similar(texts)
+
+
+def test_similar_keep_one(spark):
+    kept = similar.keep_one(docs_of(spark, ODD))
+    ids = sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect())
+    assert ids == [(False, 1), (False, 1), (False, 3), (False, 6), (False, 7), (True, None)] and "extra" in kept.columns
+    assert similar.keep_one(docs_of(spark, [])).count() == 0
+
+
 # ---------------------------------------------------------------- 4, 6
 
 
