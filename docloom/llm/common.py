@@ -6,13 +6,14 @@ import atexit
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from docloom.shipping import ship
 
@@ -28,13 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    One of our own is made only where none is named and all tasks run on this machine; on a cluster
+    that names none this is an error, for executors would each write to a disk of their own.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
     set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="docloom-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -64,10 +71,20 @@ def hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def release_scratch() -> None:
-    """Delete the scratch tables of this process; results that were not read yet become unreadable."""
-    while _written:
-        spark, path = _written.pop()
+def scratch_mark() -> int:
+    """A point in time to release scratch tables from."""
+    return len(_written)
+
+
+def release_scratch(since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete this process's scratch tables made after a mark, but for those kept.
+
+    Results that were not written or read yet and come from these become unreadable.
+    """
+    mine, _written[since:] = _written[since:], [w for w in _written[since:] if w[1] in keep]
+    for spark, path in mine:
+        if path in keep:
+            continue
         try:
             fs, p = hadoop_fs(spark, path)
             fs.delete(p, True)
@@ -87,7 +104,34 @@ def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """A number of partitions that grows with the input, and is never below what the session shuffles into."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     size = input_bytes(df)
-    return max(least, min(200_000, math.ceil(size / bytes_each)) if size < 1 << 60 else least)
+    return max(least, math.ceil(size / bytes_each)) if size < 1 << 60 else least
+
+
+# ---------------------------------------------------------------- column names
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def actual(df: DataFrame, name: str) -> str:
+    """How df spells the column that Spark takes for `name`, which has no regard to case."""
+    return next((c for c in df.columns if c.lower() == name.lower()), name)
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """df's columns but those that Spark takes for one of the names."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def spare(df: DataFrame, stem: str) -> str:
+    """A name like `stem` that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
 
 # ---------------------------------------------------------------- Arrow helpers
@@ -97,13 +141,40 @@ def text_rows(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts hold about `limit` bytes (one row at least)."""
+def filter_rows(docs: DataFrame, keep: Callable[[list[bytes | None]], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose texts (as UTF-8 bytes, null as None) `keep` says yes to.
+
+    The text is found by its place, so names that clash or differ in case do no harm.
+    """
+    ship(docs.sparkSession)
+    at = docs.columns.index(actual(docs, text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, at, 1 << 20):
+            yield batch.filter(pa.array(np.asarray(keep(batch.column(at).cast(pa.binary()).to_pylist()), bool)))
+
+    return map_rows(docs, run, docs.schema)
+
+
+def map_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """rows.mapInArrow(run, schema) for columns of any names, dots and repeats too: both sides go by place."""
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, plain.names)
+
+    return rows.toDF(*(f"c{i}" for i in range(len(rows.columns)))).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts (a column's name or place) hold about `limit` bytes, one row at least."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        sizes = np.array(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), dtype=np.int64)
+        at = column if isinstance(column, int) else batch.schema.get_field_index(column)
+        sizes = np.array(pc.fill_null(pc.binary_length(batch.column(at)), 0), dtype=np.int64)
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1
         edges = [0, *cuts.tolist(), n]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -114,4 +185,4 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
 def as_binary(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Only the id and the text's UTF-8 bytes; every other column is pruned from the scan."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
+    return docs.select(quoted(id_column).cast("long").alias("doc_id"), quoted(text_column).cast("binary").alias("text"))

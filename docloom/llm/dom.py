@@ -12,19 +12,30 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav object ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe noembed noframes xmp canvas audio video head".split())
+#: Fixed values of HTML: elements whose content a browser reads as text up to their end tag, or to the page's end; and those it
+#: reads so or doesn't show, but which are taken for nothing here where their end tag is missing.
+RAW = frozenset("script style textarea title xmp".split())
+UNSHOWN = frozenset("noscript template svg iframe noembed noframes canvas audio video annotation".split())
+#: Fixed values of HTML: opening tags that end an open svg.
+BREAKS_OUT = frozenset("b big br code em embed font i img meta nobr ruby s small span strike strong sub sup tt u var".split())
 #: Fixed values of HTML: an opening tag ends an open one of these kinds.
 _CELLS = frozenset({"td", "th"})
 ENDS = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": _CELLS, "th": _CELLS, "option": frozenset({"option"}), "optgroup": frozenset({"option", "optgroup"})}
 #: Fixed values of HTML: an implied end looks no further up than these.
 SCOPE = frozenset({"ul", "ol", "dl", "table", "select", "menu", "html", "body"})
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: A tag, read as browsers do: only a value's quotes hide a '>'. Nothing is ever gone back over.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _MARKS = re.compile(r"[.,;:!?]")
 
 
+_END_OF = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW | UNSHOWN}
+#: Those of them whose content is never read as markup.
+RAW_UNSHOWN = frozenset("noscript iframe noembed noframes".split())
+
+
 class Node:
     """A block element, or (tag '#text') a run of inline text between two block borders."""
 
@@ -52,9 +63,16 @@ def attribute_tokens(source: str) -> tuple[str, ...]:
 
 
 def parse(source: str) -> list[Node]:
-    """The nodes in page order; node 0 is the root. Unclosed, misnested and unknown tags are taken as browsers do, roughly."""
+    """The nodes in page order; node 0 is the root. Unclosed, misnested and unknown tags are taken as browsers do, roughly.
+
+    Time grows in proportion to the page, whatever it holds. Head and body need no tags: what stands
+    in a head is never text. A tag that the page's end cuts off is dropped with what follows it.
+    """
     nodes = [Node("#root", -1, 0)]
-    stack, open_count = [0], {}
+    stack: list[int] = [0]
+    places: dict[str, list[int]] = {}  # of each tag's open elements in the stack
+    hidden: list[tuple[str, int]] = []  # open elements that are not shown, and how high the stack was
+    last_end: dict[str, int] = {}
     pieces: list[str] = []
     linked = 0
     in_link = False
@@ -76,45 +94,78 @@ def parse(source: str) -> list[Node]:
     def close(upto: int) -> None:
         flush()
         while len(stack) > upto:
-            open_count[nodes[stack.pop()].tag] -= 1
+            places[nodes[stack.pop()].tag].pop()
+        while hidden and hidden[-1][1] > upto:
+            hidden.pop()
 
     def add(piece: str) -> None:
         nonlocal linked
-        if piece:
+        if piece and not hidden:
             piece = _html.unescape(piece) if "&" in piece else piece
             pieces.append(piece)
             if in_link:
                 linked += len(piece.strip())
 
+    def innermost(tags: frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     while at < n:
-        found = _TAG.search(source, at)
-        if found is None:
+        begin = source.find("<", at)
+        if begin < 0:
             add(source[at:])
             break
-        add(source[at : found.start()])
-        at = found.end()
-        name = found[2]
-        if name is None:
+        add(source[at:begin])
+        after = source[begin + 1 : begin + 3]
+        if after[:1] in ("!", "?") or after[:1] == "/" and not after[1:].isalpha():  # a comment, or what is read as one
+            mark, skip = ("-->", 2) if source.startswith("<!--", begin) else (">", 1)
+            end = source.find(mark, begin + skip)
+            at = n if end < 0 else end + len(mark)
             continue
-        name = name.lower()
+        found = _TAG.match(source, begin)
+        if found is None:
+            if not after[:1].isascii() or not after.lstrip("/")[:1].isalpha():
+                add("<")
+                at = begin + 1
+                continue
+            break  # a tag that the page's end cuts off
+        at = found.end()
+        name = found[2].lower()
         if found[1]:
+            if hidden:
+                k = next((k for k in range(len(hidden) - 1, max(-1, len(hidden) - 9), -1) if hidden[k][0] == name), -1)
+                if k >= 0:
+                    del hidden[k:]
+                    pieces.append(" ")
+                    continue
             if name == "a":
                 in_link = False
             elif name in BLOCK:
-                if open_count.get(name):
-                    k = len(stack) - 1
-                    while nodes[stack[k]].tag != name:
-                        k -= 1
-                    close(k)
-                else:
-                    flush()
+                if not places.get(name):
+                    if not hidden:
+                        flush()
+                elif not hidden or hidden[-1][0] != "template":
+                    close(places[name][-1])
             continue
         if name in RAW:
             if not found[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>|\Z" if name != "head" else r"</head\s*>|(?=<body\b)|\Z", re.I).search(source, at)
-                at = end.end()
+                end = _END_OF[name].search(source, at)
+                at = n if end is None else end.end()
             pieces.append(" ")
             continue
+        if hidden and hidden[-1][0] == "svg" and (name in BLOCK or name in BREAKS_OUT):
+            hidden.pop()
+        if name in UNSHOWN:
+            if name not in last_end:
+                last_end[name] = max((m.start() for m in _END_OF[name].finditer(source)), default=-1)
+            if not found[3].endswith("/") and last_end[name] >= at:
+                pieces.append(" ")
+                if name in RAW_UNSHOWN:
+                    at = _END_OF[name].search(source, at).end()
+                else:
+                    hidden.append((name, len(stack)))
+            continue
+        if hidden:
+            continue
         if name == "br":
             pieces.append(" ")
         elif name == "a":
@@ -122,17 +173,11 @@ def parse(source: str) -> list[Node]:
         if name not in BLOCK:
             continue
         flush()
-        if open_count.get("p") and name not in ("button", "option"):
-            k = len(stack) - 1
-            while nodes[stack[k]].tag != "p":
-                k -= 1
-            if k == len(stack) - 1:
-                close(k)
+        if nodes[stack[-1]].tag == "p" and name not in ("button", "option"):
+            close(len(stack) - 1)
         if name in ENDS:
-            k = len(stack) - 1
-            while k and nodes[stack[k]].tag not in SCOPE and nodes[stack[k]].tag not in ENDS[name]:
-                k -= 1
-            if k and nodes[stack[k]].tag in ENDS[name]:
+            k = innermost(ENDS[name])
+            if k > innermost(SCOPE):
                 while k > 1 and nodes[stack[k - 1]].tag in ENDS[name]:
                     k -= 1
                 close(k)
@@ -141,8 +186,8 @@ def parse(source: str) -> list[Node]:
         node = Node(name, stack[-1], len(stack), attribute_tokens(found[3]))
         nodes[stack[-1]].kids.append(len(nodes))
         if not found[3].endswith("/") or name in ("div", "p", "li"):
+            places.setdefault(name, []).append(len(stack))
             stack.append(len(nodes))
-            open_count[name] = open_count.get(name, 0) + 1
         nodes.append(node)
     close(1)
     for i in range(len(nodes) - 1, 0, -1):

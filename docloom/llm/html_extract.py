@@ -18,11 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docloom.shipping import ship
 
-from .common import small_batches
+from .common import map_rows, quoted, small_batches, without
 from .dom import Node, describe, parse, text_of
 
 # ---------------------------------------------------------------- boosted trees
@@ -290,20 +289,22 @@ def train(pages: int = 1500, seed: int = 20240301) -> Extractor:
 def extract(pages: DataFrame, extractor: Extractor | None = None, html: str = "html") -> DataFrame:
     """pages with two more columns: text, the main text of `html`, and n_chars, its code points.
 
-    Null and empty html give ''. All rows and other columns stay; columns named text and n_chars are
-    replaced. Pages are never shuffled; a task holds a small batch of pages, or one long page.
+    Null and empty html give ''. All rows and other columns stay, repeated pages too, and an empty
+    table gives no rows; columns named text and n_chars, in any case, are replaced. Pages are never
+    shuffled; a task holds a small batch of pages, or one long page.
     """
     spark = pages.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(extractor or train())
-    others = [c for c in pages.columns if c not in ("text", "n_chars")]
-    schema = pages.select(*(F.col(f"`{c}`") for c in others)).schema.add("text", "string").add("n_chars", "long")
-    source = pages.select(*(F.col(f"`{c}`") for c in others), F.col(html).cast("binary").alias("__html"))
+    others = without(pages, "text", "n_chars")
+    kept = pages.select(*(quoted(c) for c in others))
+    schema = kept.schema.add("text", "string").add("n_chars", "long")
+    source = pages.select(*(quoted(c) for c in others), quoted(html).cast("binary").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "__html", 2 << 20):
+        for batch in small_batches(batches, len(others), 2 << 20):
             texts = shared.value.texts([(h or b"").decode() for h in batch.column(batch.num_columns - 1).to_pylist()])
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names[:-1], "text", "n_chars"])
+            lengths = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), lengths], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_rows(source, run, schema)
