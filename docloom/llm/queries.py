@@ -14,7 +14,9 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    """A line must repeat (min_pages = 2): else a host of one page would lose its whole text."""
+    docs = table(spark, sf_dir, "documents")
+    return lines.drop_boilerplate(docs, min_pages=2).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
