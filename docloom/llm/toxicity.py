@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, small_batches, text_rows
+from .common import as_binary, filter_rows, small_batches, text_rows
 from .decontaminate import _BASE, _CHUNK, _VALUE, _WORD, _mix, _power
 
 _U = np.uint64
@@ -27,18 +27,18 @@ class Settings:
 
     toxic_rows: int = 4_000  #: most labelled rows of label 1 that a model is fitted on
     other_rows: int = 12_000  #: most labelled rows of label 0
+    text_bytes: int = 32 << 20  #: most bytes of text that these rows may hold, a half for each label
     bucket_bits: int = 20
     prefixes: tuple[int, ...] = (3, 4, 5, 6)  #: bytes of a word's beginnings that are terms, too
-    least_rows: int = 4  #: training rows that a bucket must occur in
-    features: int = 8_192  #: most buckets that are kept because they tell the labels apart
-    least_z: float = 4.0  #: how far from chance, in standard deviations, such a bucket's labels must be
-    frequent: int = 256  #: buckets that are kept because they are frequent: they may matter beside others
-    factors: int = 6
-    epochs: int = 24  #: at least; small tables are gone through until there were `steps` batches
+    factors: int = 4
+    epochs: int = 6  #: at least; small tables are gone through until there were `steps` batches
     steps: int = 500
     toxic_weight: float = 3.0  #: of an error on a row of label 1
-    rate: float = 0.1
-    decay: float = 1e-4
+    rate: float = 0.5
+    least_pull: float = 2.0  #: a weight leaves its start once the errors of its rows add up to more than so many rows in a pass (an L1 penalty)
+    pair_rate: float = 0.5
+    least_pair_pull: float = 0.5  #: the same for factors, whose errors are weighted by the row's other factors
+    spread: float = 0.03  #: of factors at the start
     seed: int = 7
 
 
@@ -70,13 +70,10 @@ def term_buckets(data: bytes, settings: Settings) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(buckets).astype(np.int64), np.concatenate(firsts)
 
 
-def _distinct(texts: list[bytes | None], settings: Settings, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket or kept feature), each pair once, in order of rows."""
+def _distinct(texts: list[bytes | None], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket), each pair once, in order of rows."""
     starts = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
     buckets, firsts = term_buckets(b"\n".join(t or b"" for t in texts), settings)
-    if keep is not None:
-        buckets = keep[buckets]
-        firsts, buckets = firsts[buckets >= 0], buckets[buckets >= 0]
     row = np.searchsorted(starts, firsts, "right") - 1
     both = np.unique((row << 32) | buckets)
     return both >> 32, both & 0xFFFFFFFF
@@ -84,83 +81,92 @@ def _distinct(texts: list[bytes | None], settings: Settings, keep: np.ndarray |
 
 @dataclass
 class Model:
+    """Weights of every bucket; those of buckets that training has not seen are 0."""
+
     settings: Settings
-    keep: np.ndarray  # bucket -> feature, or -1
-    x: np.ndarray  # value of each feature
+    x: np.ndarray  # value of each bucket in a row that has it
     bias: float
     w: np.ndarray
     v: np.ndarray
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        row, feature = _distinct(texts, self.settings, self.keep)
-        return 1 / (1 + np.exp(-np.clip(_margin(row, feature, len(texts), self.x, self.bias, self.w, self.v)[0], -40, 40)))
-
-
-def _margin(row, feature, n, x, bias, w, v):
-    value = x[feature]
-    linear = np.bincount(row, w[feature] * value, n)
-    total = np.empty((n, v.shape[1]))
-    pairs = np.zeros(n)
-    for f in range(v.shape[1]):
-        part = v[feature, f] * value
-        total[:, f] = np.bincount(row, part, n)
-        pairs += total[:, f] ** 2 - np.bincount(row, part * part, n)
+        row, bucket = _distinct(texts, self.settings)
+        return 1 / (1 + np.exp(-np.clip(margins(row, bucket, len(texts), self.x, self.bias, self.w, self.v)[0], -40, 40)))
+
+
+def margins(row: np.ndarray, bucket: np.ndarray, n: int, x: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-odds of each of n rows, sums of their factors); rows are in order."""
+    value = x[bucket]
+    first = np.searchsorted(row, np.arange(n + 1))
+    filled = np.flatnonzero(np.diff(first))
+    linear, total, pairs = np.zeros(n), np.zeros((n, v.shape[1])), np.zeros(n)
+    if len(filled):
+        at = first[filled]
+        part = v[bucket] * value[:, None]
+        linear[filled] = np.add.reduceat(w[bucket] * value, at)
+        total[filled] = np.add.reduceat(part, at, axis=0)
+        pairs[filled] = (total[filled] ** 2).sum(1) - np.add.reduceat((part * part).sum(1), at)
     return bias + linear + 0.5 * pairs, total
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Model:
-    """A model from each row's distinct buckets and its label; a constant one where there is one label only, or none."""
-    n, toxic = len(labels), int(labels.sum())
-    keep = np.full(1 << settings.bucket_bits, -1, np.int32)
+    """A model of all buckets from each row's distinct buckets and its label; a constant one below 0.5 where there is one label only, or none."""
+    n, toxic, size = len(labels), int(labels.sum()), 1 << settings.bucket_bits
     if toxic in (0, n):
-        prior = (toxic + 1) / (n + 2)
-        return Model(settings, keep, np.zeros(1), float(np.log(prior / (1 - prior))) if n else -3.0, np.zeros(1), np.zeros((1, settings.factors)))
-    seen, with_label = np.zeros(len(keep)), np.zeros(len(keep))
-    for own, label in zip(rows, labels, strict=True):  # a row's buckets are distinct
-        seen[own] += 1
-        with_label[own] += label
-    share = toxic / n
-    telling = np.where(seen >= settings.least_rows, np.abs(with_label - seen * share) / np.sqrt(seen * share * (1 - share) + 1e-9), -1)
-    most_telling = np.argsort(-telling, kind="stable")[: settings.features]
-    most_frequent = np.argsort(-seen, kind="stable")[: settings.frequent]
-    chosen = np.union1d(most_telling[telling[most_telling] >= settings.least_z], most_frequent[seen[most_frequent] >= settings.least_rows])
-    keep[chosen] = np.arange(len(chosen))
-    x = np.log((n + 1) / (seen[chosen] + 1)) / np.log(n + 1)
-    kept = [f[f >= 0] for f in (keep[own] for own in rows)]
-    first = np.concatenate([[0], np.cumsum([len(f) for f in kept])])
-    feature = np.concatenate(kept).astype(np.int64)
+        return Model(settings, np.zeros(size, np.float32), -3.0, np.zeros(size, np.float32), np.zeros((size, 1), np.float32))
+    first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    flat = np.concatenate(rows)
+    seen = np.bincount(flat, minlength=size)
+    used = np.flatnonzero(seen)
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used))
+    feature = place[flat]
+    del flat
+    x = (np.log((n + 1) / (seen[used] + 1)) / np.log(n + 1)).astype(np.float32)
 
     rng = np.random.default_rng(settings.seed)
-    k, m = settings.factors, max(1, len(chosen))
-    bias, w, v = float(np.log(share / (1 - share))), np.zeros(m), rng.normal(0, 0.02, (m, k))
-    sum_w, sum_v, sum_b = np.full(m, 1e-6), np.full((m, k), 1e-6), 1e-6
-    size = 128
+    k, m, share = settings.factors, max(1, len(used)), toxic / n
+    bias, w, v = float(np.log(share / (1 - share))), np.zeros(m, np.float32), rng.normal(0, settings.spread, (m, k)).astype(np.float32)
+    start, pulled_w, pulled_v = v.copy(), np.zeros(m, np.float32), np.zeros((m, k), np.float32)
+    sum_w, sum_v, sum_b = np.full(m, 1e-6, np.float32), np.full((m, k), 1e-6, np.float32), 1e-6
+    batch_rows = 128
+
+    def lead(pulled: np.ndarray, squares: np.ndarray, at: np.ndarray, g: np.ndarray, now: np.ndarray, rate: float, least: float) -> np.ndarray:
+        """Follow the regularised leader: how far weights are from their start after another gradient."""
+        before = np.sqrt(squares[at])
+        squares[at] += g * g
+        root = np.sqrt(squares[at])
+        pulled[at] += g - (root - before) / rate * now
+        beyond = np.abs(pulled[at]) - least * passes
+        return -np.sign(pulled[at]) * np.maximum(beyond, 0) * rate / (1 + root)
+
+    passes = max(settings.epochs, -(-settings.steps * batch_rows // n))
     weight = np.where(labels > 0, settings.toxic_weight, 1.0)
-    for _ in range(max(settings.epochs, -(-settings.steps * size // n))):
+    for _ in range(passes):
         order = rng.permutation(n)
-        for at in range(0, n, size):
-            batch = order[at : at + size]
+        for at in range(0, n, batch_rows):
+            batch = order[at : at + batch_rows]
             lengths = first[batch + 1] - first[batch]
             own = np.repeat(np.arange(len(batch)), lengths)
-            places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[batch], lengths)
-            f = feature[places]
-            margin, total = _margin(own, f, len(batch), x, bias, w, v)
-            error = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels[batch]
-            error *= weight[batch]
-            touched, local = np.unique(f, return_inverse=True)
-            push = error[own] * x[f]
-            g = np.bincount(local, push, len(touched)) / 16 + settings.decay * w[touched]
-            sum_w[touched] += g * g
-            w[touched] -= settings.rate * g / np.sqrt(sum_w[touched])
-            for j in range(k):
-                old = v[touched, j]
-                g = np.bincount(local, push * (total[own, j] - v[f, j] * x[f]), len(touched)) / 16 + settings.decay * old
-                sum_v[touched, j] += g * g
-                v[touched, j] = old - 0.1 * settings.rate * g / np.sqrt(sum_v[touched, j])
+            f = feature[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[batch], lengths)]
+            margin, total = margins(own, f, len(batch), x, bias, w, v)
+            error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels[batch]) * weight[batch]
+            by_feature = np.argsort(f, kind="stable")  # the batch's terms, those of one bucket together
+            f, own = f[by_feature], own[by_feature]
+            starts = np.flatnonzero(np.diff(f, prepend=-1))
+            if len(f):
+                touched, push = f[starts], (error[own] * x[f]).astype(np.float32)
+                g = np.add.reduceat(push, starts)
+                w[touched] = lead(pulled_w, sum_w, touched, g, w[touched], settings.rate, settings.least_pull)
+                pull = push[:, None] * (total[own].astype(np.float32) - v[f] * x[f][:, None])
+                g = np.add.reduceat(pull, starts, axis=0)
+                v[touched] = start[touched] + lead(pulled_v, sum_v, touched, g, v[touched] - start[touched], settings.pair_rate, settings.least_pair_pull)
             g = error.mean()
             sum_b += g * g
             bias -= settings.rate * g / np.sqrt(sum_b)
-    return Model(settings, keep, x if len(chosen) else np.zeros(1), bias, w, v)
+    out = Model(settings, np.zeros(size, np.float32), float(bias), np.zeros(size, np.float32), np.zeros((size, k), np.float32))
+    out.x[used], out.w[used], out.v[used] = x, w[: len(used)], v[: len(used)]
+    return out
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -172,14 +178,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> Dat
     """(doc_id, text, toxic): labelled documents outside the held-out fold, a bounded sample by a hash of the id.
 
     A document with several labels is toxic if one of them says so; null labels and ids say nothing.
-    The sample of ids is bounded by the settings, so it may be broadcast.
+    Rows that repeat an id and its text are one. The sample is cut twice, so that both what is
+    broadcast and what is learnt from is bounded by the settings: ids by their number, then the rows
+    that these ids have by their number and their texts' bytes.
     """
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id", F.lit(settings.seed)), F.col("doc_id")]
     toxic = known.where("toxic = 1").orderBy(*order).limit(settings.toxic_rows)
     other = known.where("toxic = 0").orderBy(*order).limit(settings.other_rows)
-    return as_binary(docs).join(F.broadcast(toxic.unionByName(other)), "doc_id")
+    texts = as_binary(docs).withColumn("text_hash", F.xxhash64("text"))
+    sizes = texts.select("doc_id", "text_hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    sized = sizes.join(F.broadcast(toxic.unionByName(other)), "doc_id").groupBy("doc_id", "text_hash", "toxic").agg(F.max("size").alias("size"))
+    chosen = []
+    for label, most in ((1, settings.toxic_rows), (0, settings.other_rows)):
+        left = settings.text_bytes // 2
+        for row in sized.where(F.col("toxic") == label).orderBy(*order, "text_hash").limit(most).collect():  # four numbers from each of a bounded number of rows
+            left -= row["size"]
+            if left >= 0:
+                chosen.append((row["doc_id"], row["text_hash"], label))
+    mine = docs.sparkSession.createDataFrame(chosen, "doc_id long, text_hash long, toxic int")
+    return texts.join(F.broadcast(mine), ["doc_id", "text_hash"]).select("doc_id", "text", "toxic", "text_hash")
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -190,10 +209,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             row, bucket = _distinct(text_rows(batch), settings)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             packed = [bucket[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "toxic", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(packed, pa.binary())], ["doc_id", "toxic", "text_hash", "buckets"])
 
-    rows = training_rows(docs, labels, settings).select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, buckets binary").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    rows = training_rows(docs, labels, settings).mapInArrow(run, "doc_id long, toxic int, text_hash long, buckets binary")
+    rows = rows.dropDuplicates(["doc_id", "text_hash"]).toArrow().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
     buckets = [np.frombuffer(b.as_buffer(), "<u4") for b in rows["buckets"]]
     return fit(buckets, rows["toxic"].to_numpy().astype(float), settings)
 
@@ -201,8 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs(doc_id, text).
 
-    Null and empty texts get the score of a text without terms. A row with a null doc_id is scored
-    and is not held out. Without labels, or with one label only, all scores are one prior.
+    Null and empty texts get the score of a text without terms; equal texts get equal scores, and a
+    score of exactly 0.5 is predicted 1. A row with a null doc_id is scored and is not held out. An
+    empty table gives no rows. Without labels, or with one label only, nothing can be told apart and
+    all scores are one prior below 0.5.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs, labels, settings))
@@ -216,12 +237,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Set
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that score below the threshold."""
+    """The rows of docs, with all their columns, that score below the threshold; all of them where labels tell nothing."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, settings))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=1 << 20):
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array(model.value.scores(texts) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filter_rows(docs, lambda texts: model.value.scores(texts) < threshold)
