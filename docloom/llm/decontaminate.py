@@ -5,8 +5,10 @@ common runs of unmarked words are marked again and again, longest first, each fo
 Karp-Rabin over windows of one length. A document is contaminated if the tiles cover enough of an
 item's words, in whatever order they stand.
 
-The benchmark is the stated query set. It is read in blocks of bounded size; each block is an index
-that every task holds while documents stream past, so documents are never shuffled.
+The benchmark is the stated query set. It is read in blocks of bounded size, each an index that every
+task holds while documents stream past, so documents are never shuffled. Where it fills more than one
+block, a bitmap of its runs first picks the few documents that share any, and only these go through
+the blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docloom.shipping import ship
 
-from .common import small_batches
+from .common import filter_rows, quoted, save, small_batches
 
 LEAST_RUN = 5
 COVERAGE = 0.8
@@ -103,7 +105,7 @@ def _free_ahead(free: np.ndarray) -> np.ndarray:
 def tiles(item: np.ndarray, doc: np.ndarray, run: int = LEAST_RUN, allowed: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Greedy tiles (start in item, start in doc, length), longest first; of equal ones, the first in the item, then in the document.
 
-    A round costs time in proportion to the words that are still free, times the logarithm of the
+    A hash only proposes a match: the words are compared. A round costs time in proportion to the words that are still free, times the logarithm of the
     longest run; there are at most len(item) / run rounds with tiles of different lengths.
     """
     free_a, free_b = np.ones(len(item), bool), np.ones(len(doc), bool) if allowed is None else allowed.copy()
@@ -142,10 +144,12 @@ def tiles(item: np.ndarray, doc: np.ndarray, run: int = LEAST_RUN, allowed: np.n
                 if hash_b[k] != h:
                     break
                 b = int(at_b[k])
-                if free_b[b : b + low].all():
+                if free_b[b : b + low].all() and np.array_equal(item[a : a + low], doc[b : b + low]):
                     found.append((a, b, low))
                     free_a[a : a + low] = free_b[b : b + low] = False
                     break
+        if not found or found[-1][2] != low:
+            longest = low - 1  # equal hashes of different words
     return found
 
 
@@ -159,6 +163,7 @@ class Block:
     items: np.ndarray  # of each seed, the place of its item in ids
     places: np.ndarray  # of each seed, its place in the item
     bits: np.ndarray  # whether any seed has these top bits
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # of items of k words, fewer than a seed's: sorted hashes of all k, and places in ids
 
     @classmethod
     def of(cls, items: list[tuple[int, bytes]], run: int) -> Block:
@@ -170,7 +175,22 @@ class Block:
         bits[(flat >> _U(42)).astype(np.int64)] = True
         of = np.repeat(np.arange(len(items)), [len(s) for s in seeds])
         places = np.concatenate([*(np.arange(len(s)) for s in seeds), np.zeros(0, np.int64)])
-        return cls([i for i, _ in items], words, flat[order], of[order], places[order], bits)
+        short = {}
+        for k in sorted({len(w) for w in words} & set(range(1, run))):
+            mine = [i for i, w in enumerate(words) if len(w) == k]
+            whole = np.concatenate([seeds_of(words[i], k) for i in mine])
+            by_hash = np.argsort(whole, kind="stable")
+            short[k] = whole[by_hash], np.array(mine)[by_hash]
+        return cls([i for i, _ in items], words, flat[order], of[order], places[order], bits, short)
+
+    def short_hits(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place in words, words, place of the item in ids) wherever all words of a short item stand in a row."""
+        for k, (hashes, items) in self.short.items():
+            own = seeds_of(words, k)
+            for at in np.flatnonzero(np.isin(own, hashes)).tolist():
+                for i in items[np.searchsorted(hashes, own[at]) : np.searchsorted(hashes, own[at], "right")].tolist():
+                    if np.array_equal(self.words[i], words[at : at + k]):
+                        yield at, k, i
 
     def hits(self, seeds: np.ndarray) -> np.ndarray:
         """Places of those of a document's seeds that some item has too."""
@@ -238,6 +258,10 @@ def _batch_findings(texts: list[bytes | None], block: Block, run: int, coverage:
     for i in np.unique(owner).tolist():
         a, b = int(edges[i]), int(edges[i + 1])
         out[i] = block.compare(words[a:b], seeds[a : b - run + 1], hits[owner == i] - a, run, coverage)
+    for at, k, item in block.short_hits(words):
+        i = int(np.searchsorted(edges, at, "right")) - 1
+        if at + k <= edges[i + 1] and all(f[0] != block.ids[item] for f in out[i]):
+            out[i].append((block.ids[item], 1.0, [(0, at - int(edges[i]), k)]))
     return out
 
 
@@ -247,19 +271,62 @@ def _passes(docs: DataFrame, benchmark: DataFrame, run: int, coverage: float, bl
         yield docs.sparkSession.sparkContext.broadcast(block)
 
 
-FOUND = "array<struct<item_id:long,coverage:double,tiles:array<struct<item_word:int,doc_word:int,words:int>>>>"
+def suspects(docs: DataFrame, benchmark: DataFrame, run: int, block_bytes: int) -> DataFrame | None:
+    """Where the benchmark fills several blocks: (doc_id, text), distinct, of those documents that share a run with any item.
 
+    None where one block holds it. The index is one bit for each hash slot, of a fixed size whatever
+    the benchmark's; a slot that two runs share makes a suspect more, never one less. Only suspects go
+    through the blocks one by one, so a large benchmark doesn't cost a pass over all documents each.
+    """
+    sized = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if sized <= block_bytes:
+        return None
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 0, 1 << 20):
+            kinds, found = [], []
+            for text in batch.column(0).to_pylist():
+                words = words_of(bytes(text or b""))[0]
+                k = min(run, len(words))
+                if k:
+                    own = np.unique(seeds_of(words, k) >> _U(64 - _SLOT_BITS)).astype(np.int64)
+                    kinds.append(np.full(len(own), k))
+                    found.append(own)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.concatenate(found))], ["k", "slot"])
+
+    packed = benchmark.select(F.col("text").cast("binary")).mapInArrow(slots, "k int, slot long").groupBy("k", F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    index: dict[int, np.ndarray] = {}
+    for part in packed.toLocalIterator():  # at most 2 ** (_SLOT_BITS - 6) numbers for each of `run` kinds
+        index.setdefault(part["k"], np.zeros(1 << (_SLOT_BITS - 6), np.int64))[part["at"]] = part["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast({k: v.view(np.uint64) for k, v in index.items()})
+
+    def likely(texts: list[bytes | None]) -> np.ndarray:
+        flat = b"\n".join(t or b"" for t in texts)
+        starts = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+        words, firsts = words_of(flat)
+        edges = np.searchsorted(firsts, starts)
+        out = np.zeros(len(texts), bool)
+        for k, bits in shared.value.items():
+            slot = seeds_of(words, k) >> _U(64 - _SLOT_BITS)
+            at = np.flatnonzero(bits[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63)) & _U(1))
+            owner = np.searchsorted(edges, at, "right") - 1
+            out[owner[at + k <= edges[owner + 1]]] = True
+        return out
 
-def contamination(docs: DataFrame, benchmark: DataFrame, run: int = LEAST_RUN, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, found) of every row: the items whose words the document's tiles cover to at least `coverage`.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return save(filter_rows(texts, likely).withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text"), "suspects")
 
-    found is an array of (item_id, coverage, tiles), empty for clean, null and empty texts. Items of
-    fewer than `run` words are no evidence and match nothing; null items and ids are skipped; an empty
-    benchmark finds nothing. Repeated rows give repeated rows.
-    """
+
+FOUND = "array<struct<item_id:long,coverage:double,tiles:array<struct<item_word:int,doc_word:int,words:int>>>>"
+_SLOT_BITS = 27
+
+
+def _search(texts: DataFrame, benchmark: DataFrame, run: int, coverage: float, block_bytes: int) -> DataFrame:
+    """(doc_id, text, found) of every row of texts(doc_id, text as binary), a pass for each block."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())])))]))
-    plan = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.expr(f"cast(array() as {FOUND})").alias("found"))
-    for shared in _passes(docs, benchmark, run, coverage, block_bytes):
+    plan, first = texts.withColumn("found", F.expr(f"cast(array() as {FOUND})")), True
+    for shared in _passes(texts, benchmark, run, coverage, block_bytes):
 
         def go(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches, limit=1 << 20):
@@ -268,19 +335,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, run: int = LEAST_RUN, c
                 both = [o + [{"item_id": i, "coverage": c, "tiles": [{"item_word": a, "doc_word": b, "words": n} for a, b, n in t]} for i, c, t in f] for o, f in zip(old, new, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, kind)], ["doc_id", "text", "found"])
 
-        plan = plan.mapInArrow(go, f"doc_id long, text binary, found {FOUND}")
-    return plan.select("doc_id", "found")
+        if not first:
+            plan = save(plan, "searched")  # one Python worker at a time, with one block
+        plan, first = plan.mapInArrow(go, f"doc_id long, text binary, found {FOUND}"), False
+    return plan
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, run: int = LEAST_RUN, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, that cover no test item."""
-    plan, schema = docs, docs.schema
-    for shared in _passes(docs, benchmark, run, coverage, block_bytes):
+def contamination(docs: DataFrame, benchmark: DataFrame, run: int = LEAST_RUN, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, found) of every row: the items whose words the document's tiles cover to at least `coverage`.
 
-        def go(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches, limit=1 << 20):
-                texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-                yield batch.filter(pa.array([not f for f in _batch_findings(texts, shared.value, run, coverage)]))
+    found is an array of (item_id, coverage, tiles), empty for clean, null and empty texts. An item of
+    fewer than `run` words is found where all its words stand in a row; an item without words, null
+    items and null item ids match nothing; an empty benchmark finds nothing. Repeated items are found
+    by each of their ids. Of equal tiles the first in the item, then in the document, is taken. Rows
+    with a null doc_id are searched; repeated rows give repeated rows, an empty table none.
+    """
+    texts = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("binary").alias("text"))
+    few = suspects(docs, benchmark, run, block_bytes)
+    if few is None:
+        return _search(texts, benchmark, run, coverage, block_bytes).select("doc_id", "found")
+    hits = _search(few, benchmark, run, coverage, block_bytes).where("size(found) > 0").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "found")
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    joined = hashed.join(save(hits, "hits"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")), "left")
+    return joined.select("doc_id", F.coalesce("found", F.expr(f"cast(array() as {FOUND})")).alias("found"))
 
-        plan = plan.mapInArrow(go, schema)
-    return plan
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, run: int = LEAST_RUN, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no test item is found, by the rules of `contamination`."""
+    few = suspects(docs, benchmark, run, block_bytes)
+    if few is not None:
+        gone = _search(few, benchmark, run, coverage, block_bytes).where("size(found) > 0").select(F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("g")).distinct()
+        text = quoted("text").cast("binary")
+        return docs.join(save(gone, "gone"), (F.xxhash64(text) == F.col("h")) & (F.xxhash64(text, F.lit(1)) == F.col("g")), "left_anti")
+    blocks = list(_passes(docs, benchmark, run, coverage, block_bytes))  # one, or none
+    if not blocks:
+        return docs
+    return filter_rows(docs, lambda texts: np.array([not f for f in _batch_findings(texts, blocks[0].value, run, coverage)], bool))
