@@ -2,8 +2,9 @@
 
 Arrivals are appended as small immutable files. A run is what one append or one merge wrote; runs of
 about one size are merged into files of the target size. What readers see is one manifest, a JSON
-file per version, put in place by a rename that fails if the version exists: a reader sees all of an
-append or a merge, or nothing of it.
+file per version, put in place by one step that fails if the version exists (a rename where the file
+system's is atomic, a conditional put in object stores): a reader sees all of an append or a merge,
+or nothing of it.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hadoop_fs
+from .common import hadoop_fs, quoted, spare, without
 
 
 @dataclass
@@ -36,6 +38,10 @@ class Run:
     def bytes(self) -> int:
         return sum(s.bytes for s in self.shards)
 
+    @property
+    def folders(self) -> list[str]:
+        return sorted({s.path.rsplit("/", 1)[0] for s in self.shards})
+
 
 @dataclass
 class Manifest:
@@ -67,13 +73,24 @@ class Conflict(RuntimeError):
     """Another writer has committed the version first."""
 
 
+#: Stores whose renames copy, but which can refuse to write over an object.
+OBJECT_STORES = frozenset({"s3a", "s3", "s3n", "gs", "abfs", "abfss", "wasb", "wasbs", "oss", "cosn"})
+
+
 class ShardStore:
-    """A versioned table of shards below `root`, in any store that Spark writes to."""
+    """A versioned table of shards below `root`.
+
+    conditional_put says how a manifest is committed: by creating its file only if there is none, or
+    (in file systems, the default there) by an atomic rename. A store that offers neither can't hold one.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, policy: Policy = Policy()):
+    def __init__(self, spark: SparkSession, root: str, policy: Policy = Policy(), conditional_put: bool | None = None):
         self.spark, self.root, self.policy = spark, root.rstrip("/"), policy
+        scheme = self.root.split("://")[0] if "://" in self.root else ""
+        self.conditional_put = scheme in OBJECT_STORES if conditional_put is None else conditional_put
         self.fs, _ = hadoop_fs(spark, self.root)
         self.jvm = spark.sparkContext._jvm
+        self._pending: set[str] = set()  # folders written by this store and not yet committed
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -99,49 +116,89 @@ class ShardStore:
     def _commit(self, manifest: Manifest) -> Manifest:
         """Atomic: the version's name exists with all of its content, or doesn't; Conflict if it exists already."""
         manifest.version += 1
-        draft, final = self._path(f"_manifest/.{uuid.uuid4().hex}"), self._path(f"_manifest/v{manifest.version:012d}.json")
-        out = self.fs.create(draft, False)
+        final = self._path(f"_manifest/v{manifest.version:012d}.json")
+        try:
+            (self._put if self.conditional_put else self._rename)(manifest, final)
+        except Exception as failed:
+            if "AlreadyExists" in str(failed):
+                raise Conflict(f"version {manifest.version} exists") from failed
+            raise
+        return manifest
+
+    def _write_to(self, out, manifest: Manifest) -> None:
         out.write(bytearray(manifest.to_json().encode()))
         out.close()
+
+    def _put(self, manifest: Manifest, final) -> None:
+        builder = self.fs.createFile(final).overwrite(False).recursive()
+        self._write_to(builder.opt("fs.option.create.conditional.overwrite", "true").build(), manifest)
+
+    def _rename(self, manifest: Manifest, final) -> None:
+        draft = self._path(f"_manifest/.{uuid.uuid4().hex}")
+        self._write_to(self.fs.create(draft, False), manifest)
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri() if final.toUri().getScheme() else self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         rename = self.jvm.org.apache.hadoop.fs.Options.Rename
         how = self.spark.sparkContext._gateway.new_array(rename, 1)
         how[0] = getattr(rename, "NONE")
         try:
             context.rename(draft, final, how)
-        except Exception as failed:
+        except Exception:
             self.fs.delete(draft, False)
-            if "AlreadyExists" in str(failed):
-                raise Conflict(f"version {manifest.version} exists") from failed
             raise
-        return manifest
 
     # ------------------------------------------------------------ writing
 
-    def _write(self, rows: DataFrame, number: int) -> list[Shard]:
+    def _files(self, folder: str) -> list[Shard]:
+        """The shards in a folder below the root; none where there is no such folder."""
+        path = self._path(folder)
+        files = [s for s in self.fs.listStatus(path) if s.getPath().getName().startswith("part-")] if self.fs.exists(path) else []
+        return sorted((Shard(f"{folder}/{s.getPath().getName()}", s.getLen()) for s in files), key=lambda s: s.path)
+
+    def _write(self, rows: DataFrame) -> list[Shard]:
         """Files of a new run; its folder's name is its own, so a failed attempt never mixes with another."""
-        name = f"run-{number:08d}-{uuid.uuid4().hex[:8]}"
+        name = f"run-{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
-        files = [s for s in self.fs.listStatus(self._path(name)) if s.getPath().getName().startswith("part-")]
-        return sorted((Shard(f"{name}/{s.getPath().getName()}", s.getLen()) for s in files), key=lambda s: s.path)
+        return self._files(name)
 
-    def append(self, rows: DataFrame, batch: str) -> Manifest:
-        """Add an arrival as a run of small files. A batch that the store has already is not added again, so a retry after a crash is safe."""
+    def _add(self, shards: list[Shard], batch: str, schema: str) -> Manifest:
+        """Commit written shards as a run; on a conflict only the commit is tried again. Shards of a batch that is there by then are deleted."""
         while True:
             manifest = self.manifest()
             if any(batch in r.batches for r in manifest.runs):
+                for folder in Run(0, 0, [], shards).folders:
+                    self.fs.delete(self._path(folder), True)
                 return manifest
-            shards = self._write(rows, manifest.next_run)
             run = Run(manifest.next_run, 0, [batch], shards)
             run.tier = self.policy.tier(run.bytes)
             manifest.runs.append(run)
             manifest.next_run += 1
-            manifest.schema = manifest.schema or rows.schema.json()
+            manifest.schema = manifest.schema or schema
             try:
                 return self._commit(manifest)
             except Conflict:
                 continue
 
+    def append(self, rows: DataFrame, batch: str) -> Manifest:
+        """Add an arrival as a run of small files. A batch that the store has already is not added again, so a retry after a crash is safe."""
+        manifest = self.manifest()
+        if any(batch in r.batches for r in manifest.runs):
+            return manifest
+        return self._add(self._write(rows), batch, rows.schema.json())
+
+    def append_each(self, rows: DataFrame, number: Column, batches: list[str], then: Callable[[], object] = lambda: None) -> None:
+        """Add several arrivals, one after another, from one pass over rows: batches[k] are those whose `number` is k.
+
+        `then` runs after each. Batches that the store has already are not added again.
+        """
+        column, name = spare(rows, "arrival"), f"run-{uuid.uuid4().hex}"
+        rows.withColumn(column, number.cast("int")).write.option("compression", "zstd").partitionBy(column).parquet(f"{self.root}/{name}")
+        folders = [f"{name}/{column}={k}" for k in range(len(batches))]
+        self._pending.update(folders)
+        for folder, batch in zip(folders, batches, strict=True):
+            self._add(self._files(folder), batch, rows.schema.json())
+            self._pending.discard(folder)
+            then()
+
     def compact(self) -> Manifest:
         """Merge the runs of any tier that holds `fan` of them, until none does; rows are moved, never changed.
 
@@ -159,25 +216,34 @@ class ShardStore:
             merged = tiers[full]
             size = sum(r.bytes for r in merged)
             rows = self._read(manifest, merged).coalesce(max(1, math.ceil(size / self.policy.target_bytes)))
-            run = Run(manifest.next_run, 0, sorted(b for r in merged for b in r.batches), self._write(rows, manifest.next_run))
-            run.tier = max(self.policy.tier(run.bytes), full + 1)
-            manifest.next_run += 1
-            gone = {r.id for r in merged}
-            manifest.runs = [r for r in manifest.runs if r.id not in gone] + [run]
-            try:
-                self._commit(manifest)
-            except Conflict:
-                continue
+            shards, gone = self._write(rows), {r.id for r in merged}
+            while True:  # on a conflict the merged files are still right, as long as nobody else merged these runs
+                run = Run(manifest.next_run, 0, sorted(b for r in merged for b in r.batches), shards)
+                run.tier = max(self.policy.tier(run.bytes), full + 1)
+                manifest.next_run += 1
+                manifest.runs = [r for r in manifest.runs if r.id not in gone] + [run]
+                try:
+                    self._commit(manifest)
+                    break
+                except Conflict:
+                    manifest = self.manifest()
+                    if not gone <= {r.id for r in manifest.runs}:
+                        for folder in run.folders:
+                            self.fs.delete(self._path(folder), True)
+                        break
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete files that none of the last `keep` versions names, and older versions; returns how many folders went. Not for use while a writer is at work."""
         have = self.versions()
-        named = {s.path.split("/")[0] for v in have[-keep:] for r in self.manifest(v).runs for s in r.shards}
+        named = self._pending | {f for v in have[-keep:] for r in self.manifest(v).runs for f in r.folders}
         gone = 0
         for status in self.fs.listStatus(self._path("")) if have else []:
             name = status.getPath().getName()
-            if name.startswith("run-") and name not in named:
-                self.fs.delete(status.getPath(), True)
+            if not name.startswith("run-") or name in named:
+                continue
+            inner = [f"{name}/{s.getPath().getName()}" for s in self.fs.listStatus(status.getPath()) if s.isDirectory()]
+            for folder in [f for f in inner if f not in named] if any(f in named for f in inner) else [name]:
+                self.fs.delete(self._path(folder), True)
                 gone += 1
         for v in have[:-keep]:
             self.fs.delete(self._path(f"_manifest/v{v:012d}.json"), False)
@@ -200,23 +266,33 @@ class ShardStore:
         return self._read(manifest, manifest.runs)
 
     def placed(self) -> DataFrame:
-        """read() with three more columns: run, shard and version."""
+        """read() with three more columns: run, shard and version; columns of these names are replaced."""
         manifest = self.manifest()
         at = F.col("_metadata.file_path")
-        rows = self.read().select("*", F.regexp_extract(at, r"run-(\d+)-", 1).cast("long").alias("run"), F.regexp_extract(at, r"part-(\d+)-", 1).cast("long").alias("shard"))
-        return rows.withColumn("version", F.lit(manifest.version).cast("long"))
+        rows = self.read()
+        folder = F.regexp_extract(at, r"(run-[0-9a-f]+(?:/[^/]+=\d+)?)/part-", 1)
+        run_of = F.create_map(*(F.lit(x) for r in manifest.runs for f in r.folders for x in (f, r.id))) if manifest.runs else None  # a few runs in each tier
+        run = (F.try_element_at(run_of, folder) if run_of is not None else F.lit(None)).cast("long")
+        others = without(rows, "run", "shard", "version")
+        return rows.select(*(quoted(c) for c in others), run.alias("run"), F.regexp_extract(at, r"part-(\d+)-", 1).cast("long").alias("shard"), F.lit(manifest.version).cast("long").alias("version"))
 
 
 def store_in_arrivals(docs: DataFrame, root: str, arrivals: int = 8, policy: Policy = Policy()) -> ShardStore:
-    """Append docs in arrivals of neighbouring doc_ids, compacting after each; rows with a null doc_id come with the last."""
+    """Append docs in arrivals of neighbouring doc_ids, of about as many rows each, compacting after each.
+
+    Rows of one doc_id arrive together, those with a null doc_id with the last. An empty table gives
+    a store of empty arrivals. docs is read once for its ids and once to be written.
+    """
     store = ShardStore(docs.sparkSession, root, policy)
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        low = high = 0
-    step = (high - low) // arrivals + 1
-    for k in range(arrivals):
-        mine = (F.col("doc_id") >= low + k * step) & (F.col("doc_id") < low + (k + 1) * step)
-        store.append(docs.where(mine | F.col("doc_id").isNull() if k == arrivals - 1 else mine), f"arrival-{k}")
+    doc_id = quoted("doc_id").cast("long")
+    cuts = docs.select(doc_id.cast("double").alias("doc_id")).approxQuantile("doc_id", [k / arrivals for k in range(1, arrivals)], 0.001)
+    number = F.lit(0)
+    for cut in cuts:
+        number = number + F.when(doc_id > F.lit(cut), 1).otherwise(0)
+
+    def settle() -> None:
         store.compact()
         store.vacuum()
+
+    store.append_each(docs, F.when(doc_id.isNull(), arrivals - 1).otherwise(number), [f"arrival-{k}" for k in range(arrivals)], settle)
     return store
