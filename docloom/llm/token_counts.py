@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from docloom.shipping import ship
 
-from .bpe import text_encoder
-from .common import as_binary, hadoop_fs, save, small_batches, text_rows
+from .bpe import default_ranks, read_ranks, text_encoder
+from .common import as_binary, hadoop_fs, save, scratch_path, small_batches, text_rows
 
 BLOCK_TOKENS = 1 << 16
 #: Blocks in a group of the prefix scan: no window holds more rows of a file.
@@ -37,7 +37,7 @@ def flat_file_blocks(spark: SparkSession, path: str, width: int = 2, block_token
 
     ship(spark)
     fs, top = hadoop_fs(spark, path)
-    found = [s for s in fs.listStatus(top) if not s.isDirectory() and not s.getPath().getName().startswith((".", "_"))]
+    found = [s for s in (fs.listStatus(top) if fs.exists(top) else []) if not s.isDirectory() and not s.getPath().getName().startswith((".", "_"))]
     files = sorted((s.getPath().toString(), s.getLen()) for s in found)
     for name, size in files:
         if size % width:
@@ -58,48 +58,52 @@ def flat_file_blocks(spark: SparkSession, path: str, width: int = 2, block_token
     return wanted.select("file", F.col("block").cast("long")).mapInArrow(read, "file string, block long, data binary")
 
 
-def write_flat(docs: DataFrame, eod: int, ranks_path: str | None = None, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Encode docs into one flat file per partition, kept as a table of blocks in the shared folder.
+def id_width(eod: int, ranks_path: str | None = None) -> int:
+    """Bytes of an id: two where the vocabulary's ids and the end of a document all fit."""
+    return 2 if max(eod, *read_ranks(ranks_path or default_ranks()).values()) < 1 << 16 else 4
 
-    Returns (blocks(file, block, data), names(file, ordinal, doc_id)). Blocks are cut at every
-    block_tokens ids, in the middle of documents. The names only say whose document the n-th of a
-    file is; nothing in the blocks points at documents.
+
+def write_flat(docs: DataFrame, folder: str, eod: int, ranks_path: str | None = None, width: int | None = None) -> DataFrame:
+    """Encode docs into flat files below a folder that executors share, one for each partition; returns names(file, ordinal, doc_id).
+
+    A file is nothing but ids. It is written under a name of the attempt and moved to its own at the
+    end, so a task that fails, or runs twice, leaves a whole file or none. The names say whose
+    document the n-th of a file is; nothing in a file points at documents.
     """
-    dtype = "<u2" if eod < 1 << 16 else "<u4"
+    import pyarrow.fs as pafs
+
+    width = width or id_width(eod, ranks_path)
+    dtype = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file = text_encoder(ranks_path), str(TaskContext.get().partitionId())
-        end = np.array([eod], dtype)
-        held: list[np.ndarray] = []
-        size = block = named = 0
+        encoder, context = text_encoder(ranks_path), TaskContext.get()
+        store, inner = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+        store.create_dir(inner, recursive=True)
+        name = f"part-{context.partitionId():08d}.bin"
+        draft, end = f"{inner}/.{name}.{context.taskAttemptId()}", np.array([eod], dtype).tobytes()
         ids: list[int | None] = []
-
-        def row(number: int, data: bytes | None, names: list | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([number], pa.int64()), pa.array([data], pa.binary()), pa.array([names], pa.list_(pa.int64()))], ["file", "block", "data", "names"])
-
-        for batch in small_batches(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_rows(batch), strict=True):
-                held += [np.frombuffer(encoder.packed((text or b"").decode()), "<u4").astype(dtype), end]
-                size += len(held[-2]) + 1
-                ids.append(doc_id)
-                if len(ids) == _NAMES:
-                    yield row(named, None, ids)
-                    named, ids = named + len(ids), []
-                if size >= block_tokens:
-                    flat = np.concatenate(held)
-                    whole = size // block_tokens * block_tokens
-                    for at in range(0, whole, block_tokens):
-                        yield row(block, flat[at : at + block_tokens].tobytes(), None)
-                        block += 1
-                    held, size = [flat[whole:]], size - whole
-        if size:
-            yield row(block, np.concatenate(held).tobytes(), None)
+        named = 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([named], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "first", "names"])
+
+        with store.open_output_stream(draft) as out:
+            for batch in small_batches(batches):
+                for doc_id, text in zip(batch.column(0).to_pylist(), text_rows(batch), strict=True):
+                    packed = np.frombuffer(encoder.packed((text or b"").decode()), "<u4")
+                    out.write(packed.astype(dtype).tobytes() + end)
+                    ids.append(doc_id)
+                    if len(ids) == _NAMES:
+                        yield row()
+                        named, ids = named + len(ids), []
+        if store.get_file_info(f"{inner}/{name}").type != pafs.FileType.NotFound:
+            store.delete_file(f"{inner}/{name}")  # of an attempt before this one
+        store.move(draft, f"{inner}/{name}")
         if ids:
-            yield row(named, None, ids)
+            yield row()
 
-    made = save(as_binary(docs).mapInArrow(run, "file string, block long, data binary, names array<long>"), "flat")
-    names = made.where("names is not null").select("file", "block", F.posexplode("names").alias("k", "doc_id")).select("file", (F.col("block") + F.col("k")).alias("ordinal"), "doc_id")
-    return made.where("data is not null").select("file", "block", "data"), names
+    made = save(as_binary(docs).mapInArrow(run, "file string, first long, names array<long>"), "names")
+    return made.select("file", "first", F.posexplode("names").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
 
 
 def block_summaries(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
@@ -150,8 +154,13 @@ def document_lengths(summaries: DataFrame, block_tokens: int = BLOCK_TOKENS) ->
 def count_documents(docs: DataFrame, eod: int = 50_256, ranks_path: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, file, ordinal) of every row of docs: encoded to flat files, then counted from these alone.
 
-    Null and empty texts have 0 tokens. Repeated rows and null ids are counted row by row.
+    Null and empty texts have 0 tokens. Repeated rows and null ids are counted row by row; an empty
+    table gives no rows. file is the number of the flat file.
     """
-    blocks, names = write_flat(docs, eod, ranks_path, block_tokens)
-    lengths = document_lengths(block_summaries(blocks, eod, 2 if eod < 1 << 16 else 4), block_tokens)
-    return names.join(lengths, ["file", "ordinal"]).select("doc_id", "n_tokens", F.col("file").cast("long").alias("file"), "ordinal")
+    spark, width = docs.sparkSession, id_width(eod, ranks_path)
+    folder = scratch_path(spark, "flat")
+    names = write_flat(docs, folder, eod, ranks_path, width)
+    lengths = document_lengths(block_summaries(flat_file_blocks(spark, folder, width, block_tokens), eod, width), block_tokens)
+    lengths = lengths.withColumn("file", F.regexp_extract("file", r"([^/]+)$", 1))
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    return names.join(lengths, ["file", "ordinal"]).select("doc_id", "n_tokens", number.alias("file"), "ordinal")
