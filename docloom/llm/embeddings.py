@@ -8,7 +8,7 @@ boundaries are replicated, and each pair of cells joins independently of all oth
 
 Copies (equal components) are one vector first. Cells are dealt to blocks of bounded size, and the
 links between two blocks are counted by matrix products: a count and one edge for each vector leave
-a task, never the pairs.
+a task, never the pairs. Pivots grow with the table, within a bound in bytes.
 
 Where vectors have no structure (random directions in many dimensions) all distances are alike, the
 bounds exclude nothing, and the join is as good as comparing all with all; see the README's figures.
@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from docloom.shipping import ship
 
-from .common import save
+from .common import actual, quoted, save
 from .components import connected_components
 
 #: Vectors in a block; a task holds two blocks.
 BLOCK = 4096
-#: Vectors for each pivot, most pivots, and most vectors that pivots are drawn from.
-PER_PIVOT, PIVOTS, SAMPLE = 3000, 256, 4096
+#: Vectors for each pivot, and bytes (as doubles) that the pivots and the sample they are drawn from may take.
+PER_PIVOT, PIVOT_BYTES, SAMPLE_BYTES = 3000, 64 << 20, 128 << 20
+#: Up to so many pivots are chosen far apart; more are drawn at random.
+FAR_APART = 512
 #: Room for rounding in the bounds: they only ever admit more. The test of a pair is the cosine itself.
 _ROOM = 1e-9
 _STRIP = 256
@@ -41,8 +43,8 @@ _STRIP = 256
 def _flagged(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(vec_id, v, usable): whether a vector can be linked."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    usable = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"))
+    usable = F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
+    rows = vectors.select(quoted(vec_id).cast("long").alias("vec_id"), quoted(embedding).alias("v"))
     return rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
 
 
@@ -59,8 +61,15 @@ def _unit(packed: list[bytes], dtype: str) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def pivot_count(vectors: int, width: int, per_pivot: int = PER_PIVOT) -> int:
+    """In proportion to the vectors, then to their square root (so that finding homes doesn't outgrow the join), and never beyond PIVOT_BYTES."""
+    return max(1, min(round(vectors / per_pivot), round(16 * math.sqrt(vectors)), PIVOT_BYTES // (8 * max(1, width))))
+
+
 def choose_pivots(unit: np.ndarray, count: int) -> np.ndarray:
-    """Vectors far apart: each next one is the farthest from those before it."""
+    """Vectors far apart, each next one the farthest from those before it; where there are many, the first of the sample."""
+    if count > FAR_APART:
+        return unit[:count]
     chosen, near = [0], unit @ unit[0]
     while len(chosen) < min(count, len(unit)):
         chosen.append(int(near.argmin()))
@@ -116,16 +125,20 @@ _KEY = ["c1", "c2", "b1", "b2"]
 def range_join(classes: DataFrame, dtype: str, threshold: float, block: int = BLOCK, per_pivot: int = PER_PIVOT) -> DataFrame:
     """(rep, links, least): a class's `links` sum up to its links with other classes' vectors; (rep, least) are edges of its component.
 
-    classes(rep, n, width, packed) are distinct vectors, n copies of each. Vectors of different
-    widths are never linked.
+    classes(rep, n, width, packed) are distinct vectors, n copies of each, numbered by rep. Vectors of
+    different widths are never linked.
     """
     spark = classes.sparkSession
     ship(spark)
     parts = []
     for row in classes.groupBy("width").count().collect():  # a row for each width of vectors
         mine = classes.where(F.col("width") == row["width"])
-        sample = [bytes(r[0]) for r in mine.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("packed").collect()]
-        count = max(1, min(PIVOTS, round(row["count"] / per_pivot)))
+        count = pivot_count(row["count"], row["width"], per_pivot)
+        most = max(1, min(16 * count + 1024, SAMPLE_BYTES // (8 * max(1, row["width"]))))
+        share = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(min(1.0, 1.2 * most / row["count"]) * (1 << 30))
+        sample = [bytes(r[0]) for r in mine.where(share).limit(most).select("packed").collect()]
+        if not sample:
+            sample = [bytes(mine.select("packed").first()[0])]
         parts.append(_join_cells(mine, choose_pivots(_unit(sample, dtype), count), dtype, threshold, block))
     if not parts:
         return spark.createDataFrame([], "rep long, links long, least long")
@@ -137,12 +150,13 @@ def range_join(classes: DataFrame, dtype: str, threshold: float, block: int = BL
 
 def _join_cells(classes: DataFrame, centres: np.ndarray, dtype: str, threshold: float, block: int) -> DataFrame:
     context = classes.sparkSession.sparkContext
-    pivots = context.broadcast(centres)  # PIVOTS vectors at most
+    pivots = context.broadcast(centres)  # PIVOT_BYTES at most
+    strip = max(16, min(1024, (1 << 23) // len(centres)))  # rows whose distances are held at once
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + _ROOM
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in (whole.slice(at, strip) for at in range(0, whole.num_rows, strip)):
                 distance = _distances(_unit(batch.column(2).to_pylist(), dtype), pivots.value)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(distance.argmin(1)), pa.array(distance.min(1))], ["rep", "n", "packed", "home", "distance"])
 
@@ -156,7 +170,7 @@ def _join_cells(classes: DataFrame, centres: np.ndarray, dtype: str, threshold:
         limit, blocks = bounds.value
         cells = np.arange(len(limit))
         for whole in batches:
-            for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
+            for batch in (whole.slice(at, strip) for at in range(0, whole.num_rows, strip)):
                 rep, home = np.asarray(batch.column(0)), np.asarray(batch.column(3))
                 distance = _distances(_unit(batch.column(2).to_pylist(), dtype), pivots.value)
                 near = (distance <= limit[None, :]) & (distance <= distance[np.arange(len(rep)), home][:, None] + 2 * radius)
@@ -191,29 +205,37 @@ def _join_cells(classes: DataFrame, centres: np.ndarray, dtype: str, threshold:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK, per_pivot: int = PER_PIVOT) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors.
 
-    Links join rows whose cosine, in double precision, is at least `threshold`; copies are linked
-    with each other, rows that repeat a vec_id too. A vector that is null, zero, empty, or holds null
-    or non-finite components has no links and is its own component. A row with a null vec_id has no
-    links and no component, and is kept.
+    Links join rows whose cosine, in double precision, is at least `threshold` (a cosine of exactly
+    that is a link); copies are linked with each other, rows that repeat a vec_id too. Distinct
+    vectors are told apart by numbers of their own, so an id that stands on several vectors joins
+    nothing: its rows are answered one by one. A vector that is null, zero, empty, or holds null or
+    non-finite components has no links and is its own component. A row with a null vec_id is linked
+    like any other, names no component, and is kept. An empty table gives no rows.
     """
-    dtype = "<f4" if "float" in dict(vectors.dtypes)[embedding] else "<f8"
+    dtype = "<f4" if "float" in dict(vectors.dtypes)[actual(vectors, embedding)] else "<f8"
     usable = _usable(vectors, vec_id, embedding)
-    classes = usable.groupBy("a", "b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = usable.groupBy("a", "b").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("v").alias("v"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(4)
             flat, ends = np.asarray(v.flatten()).astype(dtype), np.cumsum([0, *(len(x) for x in v)])
             packed = [flat[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([e - s for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.int64()), pa.array(packed, pa.binary())], ["a", "b", "rep", "n", "width", "packed"])
+            widths = pa.array([e - s for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], widths, pa.array(packed, pa.binary())], ["a", "b", "first_id", "n", "width", "packed"])
 
     ship(vectors.sparkSession)
-    classes = save(classes.select("a", "b", "rep", "n", "v").mapInArrow(pack, "a long, b long, rep long, n long, width long, packed binary"), "classes")
-    found = save(range_join(classes, dtype, threshold, block, per_pivot), "found")
+    packed = classes.select("a", "b", "first_id", "n", "v").mapInArrow(pack, "a long, b long, first_id long, n long, width long, packed binary")
+    classes = save(packed.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbers are settled by being written
+    found = save(range_join(classes.select("rep", "n", "width", "packed"), dtype, threshold, block, per_pivot), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("src"), F.col("least").alias("dst")))
-    by_class = classes.select("a", "b", "rep", "n").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    by_class = save(by_class.select("a", "b", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "by_class")
+    by_class = classes.select("a", "b", "rep", "n", "first_id").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
+    n_links = F.col("n") - 1 + F.coalesce("links", F.lit(0))
+    by_class = save(by_class.select("a", "b", n_links.alias("n_links"), "first_id", F.coalesce("component", "rep").alias("root")), "by_class")
+    salt = F.pmod(F.xxhash64("root"), F.lit(65_521))  # a second key, so that Spark can split the partition of a large component
+    named = by_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_class = by_class.withColumn("k", salt).join(named.withColumn("k", salt), ["root", "k"]).select("a", "b", "n_links", "component_id")
     linked = usable.select("vec_id", "a", "b").join(by_class, ["a", "b"]).select("vec_id", "n_links", "component_id")
     alone = _flagged(vectors, vec_id, embedding).where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
