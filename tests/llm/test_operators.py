@@ -53,7 +53,7 @@ def test_decoding_never_contradicts():
 
 def test_lines(spark):
     rows = [(i, f"Menu\nbody {i}\n\n", "a") for i in range(10)] + [(20 + i, "copy line", "a") for i in range(9)] + ODD
-    got = lines.drop_boilerplate(docs_of(spark, rows), ratio=0.3)
+    got = lines.drop_boilerplate(docs_of(spark, rows), ratio=0.3, min_pages=3, fold_copies=True)
     by = {(r["doc_id"], r["text"]) for r in got.collect()}
     assert (3, "body 3\n\n") in by and (20, "copy line") in by and (4, "") in by and (None, "z z z") in by
     assert got.count() == len(rows) and got.columns[-2:] == ["n_lines", "n_dropped"] and "extra" in got.columns
@@ -344,18 +344,23 @@ def test_toxicity(spark):
     assert none.where("predicted = 0").count() == len(ODD)
 
 
-def test_pairs_are_learnt():
-    rnd = random.Random(9)
-    rows, labels = [], []
-    for _ in range(600):
-        insult, group = rnd.random() < 0.5, rnd.random() < 0.5
-        rows.append(np.array([1] * insult + [2] * group + [10 + rnd.randrange(5)], "<u4"))
-        labels.append(float(insult == group))
-    settings = toxicity.Settings(bucket_bits=6, epochs=150, least_z=0.0, rate=1.0, toxic_weight=1.0)
-    model = toxicity.fit(rows, np.array(labels), settings)
-    feature = [(k, model.keep[b]) for k, r in enumerate(rows) for b in r.tolist() if model.keep[b] >= 0]
-    margin, _ = toxicity._margin(np.array([k for k, _ in feature]), np.array([f for _, f in feature]), len(rows), model.x, model.bias, model.w, model.v)
-    assert ((margin > 0) == np.array(labels, bool)).mean() > 0.9
+def test_pairs_are_learnt_among_many_rarer_words():
+    rng = np.random.default_rng(3)
+
+    def make(n):
+        rows, labels = [], []
+        for _ in range(n):
+            insult, group = (rng.random(2) < 0.3).tolist()
+            rows.append(np.unique(np.concatenate([[1] * insult, [2] * group, 10 + rng.integers(0, 200, 8)]).astype("<u4")))
+            labels.append(float(insult and group))
+        return rows, np.array(labels)
+
+    rows, labels = make(4000)
+    model = toxicity.fit(rows, labels, toxicity.Settings())
+    rows, labels = make(1000)
+    margin, _ = toxicity.margins(np.repeat(np.arange(1000), [len(r) for r in rows]), np.concatenate(rows).astype(int), 1000, model.x, model.bias, model.w, model.v)
+    assert ((margin > 0) == (labels > 0)).mean() > 0.98
+    assert abs(model.v[1] @ model.v[2]) > 10 * np.abs(model.v[10:210] @ model.v[10:210].T).max()
 
 
 # ---------------------------------------------------------------- 10
