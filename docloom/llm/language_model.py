@@ -6,10 +6,11 @@ word takes the state's failure arc, which costs log10(m / (c(h) + m)), and is tr
 context's state. One traversal from left to right carries the state and sums the weights up.
 
 Counts are gathered without any table that a machine would have to hold. Documents fall into blocks
-of bounded size. A block sends its distinct words and pairs, as hashes with training counts, to
-ranges of the hash; a range adds up what all blocks sent and answers each with the corpus counts of
-just those. So a word that everyone uses is one entry for each block, and ranges are even whatever
-the text. What is gathered grows with the input; nothing is pruned.
+of bounded size, which are written as tokens once. A block sends its distinct n-grams, as hashes with
+training counts, to ranges of the hash; a range adds up what all blocks sent and answers each with the
+corpus counts of just those. So a word that everyone uses is one entry for each block, and ranges are
+even whatever the text. What is gathered grows with the input; nothing is pruned. There are as many
+ranges as the input asks for, and each has a shuffle partition to itself or shares it with few.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 
 from docloom.shipping import ship
 
-from .common import ASCII_LOWER, partitions_for, save, small_batches
+from .common import ASCII_LOWER, partitions_for, quoted, save, small_batches
 
 BLOCK_TOKENS = 1_500_000
 PRIOR = 40.0
+ORDER = 3
 _U = np.uint64
 #: No word holds white space, so these are no word's hashes but by chance.
 END, START = (_U(xxhash.xxh64_intdigest(x)) for x in (b"\n</s>", b"\n<s>"))
@@ -158,14 +160,28 @@ class Block:
     words: np.ndarray  # distinct hashes, sorted
     tokens: np.ndarray  # places in words
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct pair hashes, sorted; a token at which each stands; each token's pair). A pair is a token and the one before it, or the start."""
-        before = np.empty(len(self.tokens), np.uint64)
-        before[1:] = self.words[self.tokens[:-1]]
-        before[0] = START
-        before[self.ends[:-1]] = START
-        keys = _mix(before * _U(0x9E3779B97F4A7C15) + self.words[self.tokens])
-        return np.unique(keys, return_index=True, return_inverse=True)
+    @property
+    def firsts(self) -> np.ndarray:
+        return np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+
+    def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For 2 to `order` words: (distinct hashes, sorted; a token at which each ends; each token's place in them, or -1).
+
+        A document's tokens follow a start word. A gram that would begin before it isn't one.
+        """
+        keys, known = np.empty(len(self.tokens), np.uint64), np.ones(len(self.tokens), bool)
+        keys[1:] = self.words[self.tokens[:-1]]
+        keys[self.firsts] = START
+        for _ in range(2, order + 1):
+            keys = _mix(keys * _U(0x9E3779B97F4A7C15) + self.words[self.tokens])
+            at = np.flatnonzero(known)
+            distinct, first, inverse = np.unique(keys[at], return_index=True, return_inverse=True)
+            place = np.full(len(keys), -1, np.int32)
+            place[at] = inverse
+            yield distinct, at[first], place
+            keys[1:] = keys[:-1].copy()  # the gram that ends a token before, where there is one
+            known[1:] &= known[:-1].copy()
+            known[self.firsts] = False
 
     def training(self) -> np.ndarray:
         return np.repeat(~self.held_out, np.diff(self.ends, prepend=0))
@@ -202,33 +218,54 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[Bl
         yield block()
 
 
+_TEXT = "blk long, doc_ids array<long>, held_out array<boolean>, ends binary, words binary, tokens binary"
 _ASK = "blk long, r int, kind int, keys binary, counts binary"
 
 
-def _asked(docs: DataFrame, bits: int, block_tokens: int) -> DataFrame:
-    """What blocks ask the ranges: sorted distinct hashes (kind 0: words, 1: pairs), as differences, with training counts."""
+def _token_blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches, block_tokens):
+            packed = (_pack(b.ends.astype("<i8")), _pack(np.diff(b.words, prepend=_U(0))), _pack(b.tokens))
+            columns = [pa.array([b.number], pa.int64()), pa.array([b.doc_ids], pa.list_(pa.int64())), pa.array([b.held_out.tolist()], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in packed)]
+            yield pa.RecordBatch.from_arrays(columns, ["blk", "doc_ids", "held_out", "ends", "words", "tokens"])
+
+    return docs.mapInArrow(run, _TEXT)
+
+
+def _block_of(row: dict) -> Block:
+    words = np.cumsum(_unpack(row["words"], np.uint64), dtype=np.uint64)
+    return Block(row["blk"], row["doc_ids"], np.array(row["held_out"], bool), _unpack(row["ends"], "<i8"), words, _unpack(row["tokens"], np.int32))
+
+
+def _asked(blocks: DataFrame, bits: int, order: int) -> DataFrame:
+    """What blocks ask the ranges: sorted distinct hashes (kind 0: words, 1: pairs, ...), as differences, with training counts."""
+
+    def asked(block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        weight = block.training().astype(np.float64)
+        yield 0, block.words, np.bincount(block.tokens, weight, len(block.words))
+        for kind, (keys, _, place) in enumerate(block.grams(order), 1):
+            yield kind, keys, np.bincount(place[place >= 0], weight[place >= 0], len(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, block_tokens):
-            weight = block.training().astype(np.float64)
-            keys, _, pair = block.pairs()
-            for kind, values, counts in ((0, block.words, np.bincount(block.tokens, weight, len(block.words))), (1, keys, np.bincount(pair, weight, len(keys)))):
-                cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << _U(64 - bits)) if bits else np.zeros(0, np.int64)
-                parts = [(r, v, c) for r, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts.astype("<i8"), cuts), strict=True)) if len(v)]
-                columns = [pa.array([block.number] * len(parts), pa.int64()), pa.array([r for r, _, _ in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array([_pack(np.diff(v, prepend=_U(0))) for _, v, _ in parts], pa.binary()), pa.array([_pack(c) for _, _, c in parts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["blk", "r", "kind", "keys", "counts"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = _block_of({c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)})
+                for kind, values, counts in asked(block):
+                    cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << _U(64 - bits)) if bits else np.zeros(0, np.int64)
+                    parts = [(r, v, c) for r, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts.astype("<i8"), cuts), strict=True)) if len(v)]
+                    numbers = [pa.array([block.number] * len(parts), pa.int64()), pa.array([r for r, _, _ in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32())]
+                    packed = [pa.array([_pack(np.diff(v, prepend=_U(0))) for _, v, _ in parts], pa.binary()), pa.array([_pack(c) for _, _, c in parts], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*numbers, *packed], ["blk", "r", "kind", "keys", "counts"])
 
-    return docs.mapInArrow(run, _ASK)
+    return blocks.mapInArrow(run, _ASK)
 
 
 def _answer(group: pa.Table) -> pa.Table:
     """A range's answer to each block: the corpus counts of what it asked for, in its order; and, as block -1, the range's training tokens and distinct words."""
     blk, r, kind = (group.column(c).to_pylist() for c in ("blk", "r", "kind"))
     out: list[tuple] = []
-    for k in (0, 1):
+    for k in sorted(set(kind)):
         mine = [i for i, x in enumerate(kind) if x == k]
-        if not mine:
-            continue
         keys = [np.cumsum(_unpack(group.column("keys")[i].as_py(), np.uint64), dtype=np.uint64) for i in mine]
         counts = np.concatenate([_unpack(group.column("counts")[i].as_py(), "<i8") for i in mine])
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -240,35 +277,48 @@ def _answer(group: pa.Table) -> pa.Table:
     return pa.table({"blk": pa.array([x[0] for x in out], pa.int64()), "r": pa.array([x[1] for x in out], pa.int32()), "kind": pa.array([x[2] for x in out], pa.int32()), "counts": pa.array([x[3] for x in out], pa.binary())})
 
 
-_TEXT = "blk long, doc_ids array<long>, held_out array<boolean>, ends binary, words binary, tokens binary"
+def block_automaton(block: Block, counts: list[np.ndarray], base: np.ndarray, documents: float, prior: float) -> Automaton:
+    """The part of the corpus's automaton that a block can reach, from the corpus counts of its words, pairs, and so on.
 
-
-def _token_blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches, block_tokens):
-            columns = [pa.array([b.number], pa.int64()), pa.array([b.doc_ids], pa.list_(pa.int64())), pa.array([b.held_out.tolist()], pa.list_(pa.bool_())), pa.array([_pack(b.ends.astype("<i8"))], pa.binary()), pa.array([_pack(np.diff(b.words, prepend=_U(0)))], pa.binary()), pa.array([_pack(b.tokens)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["blk", "doc_ids", "held_out", "ends", "words", "tokens"])
-
-    return docs.mapInArrow(run, _TEXT)
-
-
-def block_automaton(block: Block, word_counts: np.ndarray, pair_counts: np.ndarray, pair_at: np.ndarray, base: np.ndarray, documents: float, prior: float) -> Automaton:
-    """The part of the corpus's automaton that a block can reach: its words, their states, and the pairs that training has.
-
-    State 0 is the root, 1 + i the context of word i, and the last one the start.
+    State 0 is the root, 1 + i the context of word i, and n + 1 the start; then come the longer
+    contexts that training has, in the order of their hashes.
     """
-    n = len(block.words)
-    context = np.concatenate([word_counts, [documents]]).astype(float)
-    at = pair_at[pair_counts > 0]
-    seen = pair_counts[pair_counts > 0]
-    word = block.tokens[at].astype(np.int64)
-    before = np.where(np.isin(at, np.concatenate([[0], block.ends[:-1]])), n, block.tokens[np.maximum(at - 1, 0)]).astype(np.int64)
-    arcs = np.concatenate([np.arange(n), (before + 1) * n + word])
-    weight = np.concatenate([np.log10(base), np.log10((seen + prior * base[word]) / (context[before] + prior))])
-    target = np.concatenate([np.arange(n), word]) + 1
-    order = np.argsort(arcs, kind="stable")
-    fail_weight = np.concatenate([[0.0], np.log10(prior / (context + prior))])
-    return Automaton(n, arcs[order], target[order], weight[order], np.zeros(n + 2, np.int64), fail_weight, n + 1)
+    n, order, tokens = len(block.words), len(counts), block.tokens.astype(np.int64)
+    is_first = np.zeros(len(tokens), bool)
+    is_first[block.firsts] = True
+    arcs, target, weight = [np.arange(n)], [np.arange(n) + 1], [np.log10(base)]
+    # Of each token: its context's state and count at this level, and its probability one level below.
+    source = np.where(is_first, n + 1, np.roll(tokens, 1) + 1)
+    held = np.concatenate([[0], counts[0], [documents]])[source].astype(float)
+    below = base[tokens]
+    fail, cost = [np.zeros(n + 2, np.int64)], [np.concatenate([[0.0], np.log10(prior / (np.concatenate([counts[0], [documents]]) + prior))])]
+    states = n + 2
+    for level, (_, at, place) in enumerate(block.grams(order), 2):
+        seen = counts[level - 1]
+        now = np.where(place >= 0, seen[place], 0)
+        p = (now + prior * below) / (held + prior)
+        at, c = at[seen > 0], seen[seen > 0]
+        state_of = np.full(len(seen), -1, np.int64)
+        if level < order:
+            state_of[seen > 0] = states + np.arange(len(at))
+            states += len(at)
+            # the longest context shorter than this one: at the first longer level the last word's, then the level's before
+            fail.append(tokens[at] + 1 if level == 2 else shorter[at])
+            cost.append(np.log10(prior / (c + prior)))
+            reached = np.where(place >= 0, state_of[place], -1)
+        else:
+            reached = tokens + 1 if level == 2 else shorter
+        arcs.append(source[at] * n + tokens[at])
+        weight.append(np.log10(p[at]))
+        target.append(reached[at])
+        if level < order:
+            shorter = reached
+            source = np.where(is_first, -1, np.roll(reached, 1))
+            held = np.roll(now, 1).astype(float)
+            below = p
+    arcs, target, weight = np.concatenate(arcs), np.concatenate(target), np.concatenate(weight)
+    by_arc = np.argsort(arcs, kind="stable")
+    return Automaton(n, arcs[by_arc], target[by_arc], weight[by_arc], np.concatenate(fail), np.concatenate(cost), n + 1)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -279,54 +329,43 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 10 == 0, F.lit(False))
 
 
-def _is_scan(df: DataFrame) -> bool:
-    """Whether df only reads files: then its partitions hold the same rows whenever they are read."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return all(line.lstrip(" +-:").startswith(("Relation", "Project", "Filter")) for line in plan.splitlines() if line.strip())
-
-
-def score_documents(docs: DataFrame, prior: float = PRIOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, prior: float = PRIOR, block_tokens: int = BLOCK_TOKENS, order: int = ORDER) -> DataFrame:
     """One row for every row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts are one end token. A row with a null doc_id is trained on and scored.
     Repeated rows count and are scored as often as they stand. With nothing to train on, all words
-    are unknown. The order is 2: see the README for why not more.
+    are unknown; an empty table gives no rows. The model has n-grams of up to `order` (2 or more) words.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    if not _is_scan(rows):
-        rows = save(rows, "docs")
-    rows = rows.withColumn("held_out", held_out())
-    ranges = partitions_for(rows)
+    rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("binary").alias("text"))
+    marked = rows.withColumn("held_out", held_out())
+    ranges, parts = partitions_for(rows), partitions_for(rows, 8 << 20)
     bits = max(0, math.ceil(math.log2(ranges)))
-    answers = save(_asked(rows, bits, block_tokens).groupBy("r").applyInArrow(_answer, "blk long, r int, kind int, counts binary"), "answers")
+    blocks = save(_token_blocks(marked, block_tokens), "blocks")  # tokenised once: what is counted is what is scored
+    asked = _asked(blocks, bits, order).repartition(1 << bits, "r")
+    answers = save(asked.groupBy("r").applyInArrow(_answer, "blk long, r int, kind int, counts binary"), "answers")
     n = v = 0
     for part in answers.where("blk = -1").select("counts").toLocalIterator():  # two numbers from each range
         more, distinct = _unpack(bytes(part["counts"]), "<i8").tolist()
         n, v = n + more, v + distinct
-    end_count = rows.where("not held_out").count()
+    end_count = blocks.select(F.sum(F.size(F.filter("held_out", lambda x: ~x)))).first()[0] or 0
     scale = n + 0.1 * (v + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in range(7)]
         for i in range(left.num_rows):
-            row = {c: left.column(c)[i].as_py() for c in left.column_names}
-            words = np.cumsum(_unpack(row["words"], np.uint64), dtype=np.uint64)
-            block = Block(row["blk"], row["doc_ids"], np.array(row["held_out"], bool), _unpack(row["ends"], "<i8"), words, _unpack(row["tokens"], np.int32))
+            block = _block_of({c: left.column(c)[i].as_py() for c in left.column_names})
             told = sorted(zip(right.column("kind").to_pylist(), right.column("r").to_pylist(), right.column("counts").to_pylist(), strict=True), key=lambda x: x[:2])
-            word_counts, pair_counts = (np.concatenate([_unpack(c, "<i8") for k, _, c in told if k == kind]) for kind in (0, 1))
-            keys, at, _ = block.pairs()
-            if len(keys) != len(pair_counts) or len(words) != len(word_counts):
-                raise RuntimeError(f"block {block.number} is not what it was when it was counted")
-            base = (word_counts + 0.1) / scale
-            machine = block_automaton(block, word_counts, pair_counts, at, base, float(end_count), prior)
-            firsts = np.concatenate([[0], block.ends[:-1]]).astype(np.int64)
-            known = np.add.reduceat((word_counts > 0)[block.tokens].astype(np.int64), firsts)
-            plain = np.add.reduceat(np.log10(base)[block.tokens], firsts)
-            for column, values in zip(out, (block.doc_ids, block.held_out.tolist(), np.diff(block.ends, prepend=0).tolist(), known.tolist(), [n] * len(firsts), plain.tolist(), machine.run(block.tokens.astype(np.int64), block.ends).tolist()), strict=True):
+            counts = [np.concatenate([np.zeros(0, "<i8"), *(_unpack(c, "<i8") for k, _, c in told if k == kind)]) for kind in range(order)]
+            base = (counts[0] + 0.1) / scale
+            machine = block_automaton(block, counts, base, float(end_count), prior)
+            known = np.add.reduceat((counts[0] > 0)[block.tokens].astype(np.int64), block.firsts)
+            plain = np.add.reduceat(np.log10(base)[block.tokens], block.firsts)
+            scores = machine.run(block.tokens.astype(np.int64), block.ends)
+            for column, values in zip(out, (block.doc_ids, block.held_out.tolist(), np.diff(block.ends, prepend=0).tolist(), known.tolist(), [n] * len(block.ends), plain.tolist(), scores.tolist()), strict=True):
                 column += values
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _SCORES.split(", ")])
 
-    text = _token_blocks(rows, block_tokens).groupBy("blk")
-    return text.cogroup(answers.where("blk >= 0").groupBy("blk")).applyInArrow(score, _SCORES)
+    text = blocks.repartition(parts, "blk").groupBy("blk")
+    return text.cogroup(answers.where("blk >= 0").repartition(parts, "blk").groupBy("blk")).applyInArrow(score, _SCORES)

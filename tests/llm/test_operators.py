@@ -220,28 +220,35 @@ def test_flat_files(spark, tmp_path):
 # ---------------------------------------------------------------- 5
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, order):
     rnd = random.Random(6)
     rows = [(i, " ".join(rnd.choice(["The", "cat", "sat", "dog", f"w{rnd.randrange(40)}"]) for _ in range(rnd.randint(0, 30))), "s") for i in range(120)] + [r for r in ODD if r[0] != 6]
-    got = language_model.score_documents(docs_of(spark, rows), block_tokens=300).collect()
+    got = language_model.score_documents(docs_of(spark, rows), block_tokens=300, order=order).collect()
     tokens = lambda t: [*(t or "").encode().translate(language_model.ASCII_LOWER).split(), None]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    one, two, n_docs = Counter(), Counter(), 0
+    one, grams, held = Counter(), Counter(), Counter()
     for i, t, _ in rows:
         if not out(i):
-            w = tokens(t)
-            n_docs += 1
-            one.update(w)
-            two.update(zip(["<s>", *w[:-1]], w, strict=True))
+            w = ["<s>", *tokens(t)]
+            one.update(w[1:])
+            for k in range(1, len(w)):
+                for size in range(2, order + 1):
+                    if k + 1 - size >= 0:
+                        grams[tuple(w[k + 1 - size : k + 1])] += 1
+                        held[tuple(w[k + 1 - size : k])] += 1
     n, v, m = sum(one.values()), len(one), language_model.PRIOR
     base = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p(h, w):
+        return (grams[(*h, w)] + m * p(h[1:], w)) / (held[h] + m) if h else base(w)
+
     want = Counter()
     for i, t, _ in rows:
-        w = tokens(t)
-        p = sum(math.log10((two[a, b] + m * base(b)) / ((n_docs if a == "<s>" else one[a]) + m)) for a, b in zip(["<s>", *w[:-1]], w, strict=True))
-        want[i, out(i), len(w), sum(one[x] > 0 for x in w), n, round(sum(math.log10(base(x)) for x in w), 6), round(p, 6)] += 1
+        w = ["<s>", *tokens(t)]
+        score = sum(math.log10(p(tuple(w[max(0, k + 1 - order) : k]), w[k])) for k in range(1, len(w)))
+        want[i, out(i), len(w) - 1, sum(one[x] > 0 for x in w[1:]), n, round(sum(math.log10(base(x)) for x in w[1:]), 6), round(score, 6)] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
-    assert language_model.score_documents(docs_of(spark, [])).count() == 0
 
 
 def test_automaton_of_order_three():
