@@ -218,23 +218,27 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[Bl
         yield block()
 
 
-_TEXT = "blk long, doc_ids array<long>, held_out array<boolean>, ends binary, words binary, tokens binary"
+_TEXT = "blk long, doc_ids array<long>, held_out array<boolean>, ends binary, words binary, by_use binary, tokens binary"
 _ASK = "blk long, r int, kind int, keys binary, counts binary"
 
 
 def _token_blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches, block_tokens):
-            packed = (_pack(b.ends.astype("<i8")), _pack(np.diff(b.words, prepend=_U(0))), _pack(b.tokens))
+            by_use = np.argsort(-np.bincount(b.tokens, minlength=len(b.words)), kind="stable").astype(np.int32)
+            rank = np.empty_like(by_use)
+            rank[by_use] = np.arange(len(by_use), dtype=np.int32)  # frequent words get small numbers, which pack well
+            packed = (_pack(b.ends.astype("<i8")), _pack(np.diff(b.words, prepend=_U(0))), _pack(by_use), _pack(rank[b.tokens]))
             columns = [pa.array([b.number], pa.int64()), pa.array([b.doc_ids], pa.list_(pa.int64())), pa.array([b.held_out.tolist()], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in packed)]
-            yield pa.RecordBatch.from_arrays(columns, ["blk", "doc_ids", "held_out", "ends", "words", "tokens"])
+            yield pa.RecordBatch.from_arrays(columns, ["blk", "doc_ids", "held_out", "ends", "words", "by_use", "tokens"])
 
     return docs.mapInArrow(run, _TEXT)
 
 
 def _block_of(row: dict) -> Block:
     words = np.cumsum(_unpack(row["words"], np.uint64), dtype=np.uint64)
-    return Block(row["blk"], row["doc_ids"], np.array(row["held_out"], bool), _unpack(row["ends"], "<i8"), words, _unpack(row["tokens"], np.int32))
+    tokens = _unpack(row["by_use"], np.int32)[_unpack(row["tokens"], np.int32)]
+    return Block(row["blk"], row["doc_ids"], np.array(row["held_out"], bool), _unpack(row["ends"], "<i8"), words, tokens)
 
 
 def _asked(blocks: DataFrame, bits: int, order: int) -> DataFrame:
@@ -268,11 +272,14 @@ def _answer(group: pa.Table) -> pa.Table:
         mine = [i for i, x in enumerate(kind) if x == k]
         keys = [np.cumsum(_unpack(group.column("keys")[i].as_py(), np.uint64), dtype=np.uint64) for i in mine]
         counts = np.concatenate([_unpack(group.column("counts")[i].as_py(), "<i8") for i in mine])
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        edges = np.cumsum([0, *map(len, keys)])
+        keys = np.concatenate(keys)
+        distinct, place = np.unique(keys, return_inverse=True)
+        del keys
         total = np.bincount(place, counts, len(distinct)).astype("<i8")
+        del distinct, counts
         if k == 0:
             out.append((-1, r[0], k, _pack(np.array([total.sum(), (total > 0).sum()], "<i8"))))
-        edges = np.cumsum([0, *map(len, keys)])
         out += [(blk[i], r[i], k, _pack(total[place[a:b]])) for i, a, b in zip(mine, edges[:-1], edges[1:], strict=True)]
     return pa.table({"blk": pa.array([x[0] for x in out], pa.int64()), "r": pa.array([x[1] for x in out], pa.int32()), "kind": pa.array([x[2] for x in out], pa.int32()), "counts": pa.array([x[3] for x in out], pa.binary())})
 
@@ -339,10 +346,10 @@ def score_documents(docs: DataFrame, prior: float = PRIOR, block_tokens: int = B
     ship(docs.sparkSession)
     rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("binary").alias("text"))
     marked = rows.withColumn("held_out", held_out())
-    ranges, parts = partitions_for(rows), partitions_for(rows, 8 << 20)
-    bits = max(0, math.ceil(math.log2(ranges)))
+    parts = partitions_for(rows, 8 << 20)
+    bits = max(0, math.ceil(math.log2(parts)))
     blocks = save(_token_blocks(marked, block_tokens), "blocks")  # tokenised once: what is counted is what is scored
-    asked = _asked(blocks, bits, order).repartition(1 << bits, "r")
+    asked = _asked(blocks, bits, order).repartitionById(1 << bits, F.col("r"))  # a task for each range
     answers = save(asked.groupBy("r").applyInArrow(_answer, "blk long, r int, kind int, counts binary"), "answers")
     n = v = 0
     for part in answers.where("blk = -1").select("counts").toLocalIterator():  # two numbers from each range
