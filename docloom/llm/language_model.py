@@ -30,7 +30,9 @@ from docloom.shipping import ship
 
 from .common import ASCII_LOWER, partitions_for, quoted, save, small_batches
 
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_250_000
+#: Bits of an n-gram's hash: of 10**12 n-grams, one in a million shares its count with another.
+GRAM_BITS = 60
 PRIOR = 40.0
 ORDER = 3
 _U = np.uint64
@@ -175,7 +177,7 @@ class Block:
         for _ in range(2, order + 1):
             keys = _mix(keys * _U(0x9E3779B97F4A7C15) + self.words[self.tokens])
             at = np.flatnonzero(known)
-            distinct, first, inverse = np.unique(keys[at], return_index=True, return_inverse=True)
+            distinct, first, inverse = np.unique(keys[at] >> _U(64 - GRAM_BITS), return_index=True, return_inverse=True)
             place = np.full(len(keys), -1, np.int32)
             place[at] = inverse
             yield distinct, at[first], place
@@ -255,7 +257,8 @@ def _asked(blocks: DataFrame, bits: int, order: int) -> DataFrame:
             for i in range(batch.num_rows):
                 block = _block_of({c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)})
                 for kind, values, counts in asked(block):
-                    cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << _U(64 - bits)) if bits else np.zeros(0, np.int64)
+                    width = GRAM_BITS if kind else 64
+                    cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << _U(width - bits)) if bits else np.zeros(0, np.int64)
                     parts = [(r, v, c) for r, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts.astype("<i8"), cuts), strict=True)) if len(v)]
                     numbers = [pa.array([block.number] * len(parts), pa.int64()), pa.array([r for r, _, _ in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32())]
                     packed = [pa.array([_pack(np.diff(v, prepend=_U(0))) for _, v, _ in parts], pa.binary()), pa.array([_pack(c) for _, _, c in parts], pa.binary())]
