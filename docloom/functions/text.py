@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column
@@ -26,6 +26,11 @@ def _letters() -> tuple[str, str]:
     return "".join(source) + "đĐ", "".join(target) + "dD"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value made once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def fold(text: Column) -> Column:
     plain = F.regexp_replace(F.translate(text, *_letters()), r"\p{Mn}", "")
     return F.replace(F.lower(plain), F.lit("ß"), F.lit("ss"))

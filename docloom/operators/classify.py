@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions.pytext import key as python_key
-from docloom.functions.text import key
+from docloom.functions.text import key, let
 from docloom.sources.rules import DocumentRules, builtin_rules
 
 #: The hints that name a family, and the confidences.
@@ -39,9 +39,11 @@ def anchor_scores(text_key: Column, rules: Iterable[DocumentRules]) -> Column:
 
 
 def _best(text_key: Column, rules: list[DocumentRules]) -> Column:
-    best = F.array_max(anchor_scores(text_key, rules))
-    confidence = F.least(F.lit(0.99), F.lit(0.6) + F.lit(0.2) * best["score"])
-    return F.struct(F.when(best["score"] > 0, best["doc_type"]).otherwise("unknown").alias("doc_type"), F.when(best["score"] > 0, confidence).otherwise(0.0).alias("confidence"))
+    def chosen(best: Column) -> Column:
+        confidence = F.least(F.lit(0.99), F.lit(0.6) + F.lit(0.2) * best["score"])
+        return F.struct(F.when(best["score"] > 0, best["doc_type"]).otherwise("unknown").alias("doc_type"), F.when(best["score"] > 0, confidence).otherwise(0.0).alias("confidence"))
+
+    return let(F.array_max(anchor_scores(text_key, rules)), chosen)
 
 
 def _by_digits(texts: Column, family: list[DocumentRules]) -> Column:
@@ -58,14 +60,13 @@ def classify(texts: Column, hint: Column | None = None, rules: Iterable[Document
     are told apart by a run of twelve digits.
     """
     rules = list(builtin_rules() if rules is None else rules)
-    text_key = document_key(texts)
     unknown = F.struct(F.lit("unknown").alias("doc_type"), F.lit(0.0).alias("confidence"))
     families = {f: [r for r in rules if r.family == f] for f in FAMILIES}
     old = _by_digits(texts, families["cmnd"]) if families["cmnd"] else unknown
-    best = _best(text_key, rules)
-    free = F.when(best["doc_type"].isin("cmnd_9", "cmnd_12"), old).otherwise(best)
+    best = lambda of: let(document_key(texts), lambda text_key: _best(text_key, of))
+    free = let(best(rules), lambda b: F.when(b["doc_type"].isin("cmnd_9", "cmnd_12"), old).otherwise(b))
     if hint is None:
         return free
-    new = _best(text_key, families["cccd"]) if families["cccd"] else unknown
+    new = best(families["cccd"]) if families["cccd"] else unknown
     trusted = F.struct(hint.alias("doc_type"), F.lit(TRUSTED_HINT).alias("confidence"))
     return F.when(hint == "cmnd", old).when(hint == "cccd", new).when(hint.isin(*(r.doc_type for r in rules)), trusted).otherwise(free)

@@ -376,7 +376,7 @@ def extract_document(lines: list[Line], rules: DocumentRules, codes: dict[str, s
 def extract_fields(docs: DataFrame, rules: Iterable[DocumentRules] | None = None, as_of: datetime.date | None = None) -> DataFrame:
     """docs(doc_id, doc_type, lines, codes map) with two more columns: fields and field_warnings.
 
-    Lines are taken in their array's order. A type without rules has no fields. `as_of` is the day
+    Lines are taken in their array's order; a null coordinate is 0, a null confidence 1. A type without rules has no fields. `as_of` is the day
     that expiry dates are compared with; today where it is not given.
     """
     ship(docs.sparkSession)
@@ -393,7 +393,7 @@ def extract_fields(docs: DataFrame, rules: Iterable[DocumentRules] | None = None
             fields, warned = [], []
             for kind, lines, codes in zip(batch.column(at).to_pylist(), batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True):
                 of = by_type.get(kind)
-                page = [Line(i, o["text"] or "", o["x"], o["y"], o["w"], o["h"], 1.0 if o["confidence"] is None else o["confidence"]) for i, o in enumerate(lines or ()) if o is not None]
+                page = [Line(i, o["text"] or "", *(o[c] or 0.0 for c in "xywh"), 1.0 if o["confidence"] is None else o["confidence"]) for i, o in enumerate(lines or ()) if o is not None]
                 found, told = extract_document(page, of, dict(codes or ()), today) if of else ([], [])
                 fields.append(found)
                 warned.append(told)

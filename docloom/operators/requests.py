@@ -7,6 +7,7 @@ import logging
 from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +34,29 @@ def _ipv4(host: Column) -> Column:
     return F.when(fits, reduce(lambda a, i: a * 256 + F.try_element_at(parts, F.lit(i)).try_cast("long"), (2, 3, 4), F.try_element_at(parts, F.lit(1)).try_cast("long")))
 
 
+def _ipv6_in(networks: list[ipaddress.IPv6Network]):
+    def inside(host: str | None) -> bool:
+        try:
+            return host is not None and ":" in host and any(ipaddress.IPv6Address(host) in n for n in networks)
+        except ValueError:
+            return False
+
+    @F.pandas_udf("boolean")
+    def check(hosts: pd.Series) -> pd.Series:
+        return hosts.map(inside).astype(bool)
+
+    return check
+
+
 def ip_allowed(host: Column, networks: Iterable[str]) -> Column:
-    """No networks allow all; a host that is no address is let through; IPv6 hosts are compared as text of single addresses."""
+    """No networks allow all; a host that is no address is let through. IPv4 is arithmetic on Columns; IPv6 has many spellings and is parsed in Arrow batches, only where a network asks for it."""
     nets = parse_networks(networks)
     if not nets:
         return F.lit(True)
     number = _ipv4(host)
     inside = [number.between(int(n.network_address), int(n.broadcast_address)) for n in nets if n.version == 4]
-    six = [F.lower(host) == str(n.network_address) for n in nets if n.version == 6 and n.prefixlen == 128]
+    sixes = [n for n in nets if n.version == 6]
+    six = [_ipv6_in(sixes)(host)] if sixes else []
     some = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in [*inside, *six]], F.lit(False))
     is_address = number.isNotNull() | F.contains(host, F.lit(":"))
     return F.when(is_address, some).otherwise(True)

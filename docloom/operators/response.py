@@ -39,10 +39,11 @@ def process(docs: DataFrame, rules: Iterable[DocumentRules] | None = None, as_of
     lines = F.coalesce(F.col("lines").cast(LINES), F.array().cast(LINES))
     rows = docs.select("doc_id", lines.alias("lines"), payloads.alias("payloads"), hint.alias("hint"), good.alias("good"))
     texts = F.transform("lines", lambda o: F.coalesce(o["text"], F.lit("")))
-    rows = rows.withColumn("by_code", structured.identify(F.col("payloads"), F.col("hint"), rules)).withColumn("class", classify.classify(texts, F.col("hint"), rules))
+    rows = rows.withColumn("parsed", structured.parse(F.col("payloads"), texts, rules))
+    rows = rows.withColumn("by_code", structured.identified(F.col("parsed"), F.col("hint"), rules)).withColumn("class", classify.classify(texts, F.col("hint"), rules))
     rows = rows.withColumn("doc_type", F.when(~F.col("good"), "unknown").otherwise(F.coalesce("by_code.doc_type", "class.doc_type")))
     rows = rows.withColumn("classification_confidence", F.when(~F.col("good"), 0.0).when(F.col("by_code").isNotNull(), 0.99).otherwise(F.col("class.confidence")))
-    rows = rows.withColumn("found", structured.read(F.col("doc_type"), F.col("payloads"), texts, rules))
+    rows = rows.withColumn("found", structured.codes_of(F.col("doc_type"), F.col("parsed"), rules))
     alone = F.col("by_code").isNotNull()
     rows = rows.select(
         "doc_id",

@@ -33,7 +33,11 @@ def _sex(code: Column, male: str, female: str) -> Column:
 
 
 def health_card(payload: Column) -> Column:
-    part = lambda i: T.pipe_field(_parts(payload), i)
+    return T.let(_parts(payload), _health_card)
+
+
+def _health_card(parts: Column) -> Column:
+    part = lambda i: T.pipe_field(parts, i)
     number = part(0)
     text = lambda c: F.coalesce(T.hex_to_text(c), c)
     return _map(
@@ -53,7 +57,11 @@ def health_card(payload: Column) -> Column:
 
 
 def citizen_card(payload: Column) -> Column:
-    part = lambda i: T.pipe_field(_parts(payload), i)
+    return T.let(_parts(payload), _citizen_card)
+
+
+def _citizen_card(parts: Column) -> Column:
+    part = lambda i: T.pipe_field(parts, i)
     number, old = part(0), part(1)
     return _map(
         [
@@ -69,7 +77,10 @@ def citizen_card(payload: Column) -> Column:
 
 
 def party_card(payload: Column) -> Column:
-    parts = _parts(payload)
+    return T.let(_parts(payload), _party_card)
+
+
+def _party_card(parts: Column) -> Column:
     part = lambda i: T.pipe_field(parts, i)
     day = lambda i: F.when(part(i).rlike(r"^[0-9]{8}\z"), T.ddmmyyyy(part(i)))
     fits = (F.size(parts) >= 7) & part(0).rlike(r"^(?:[0-9]{12}|[0-9]{2}\.[0-9]{6})\z") & day(2).isNotNull() & day(3).isNotNull() & day(6).isNotNull()
@@ -179,8 +190,26 @@ def _is_of(parsed: Column, rules: DocumentRules) -> Column:
     return F.coalesce(T.full_match(value, number.regex) if number.regex else value != "", F.lit(False))
 
 
-def _first_fit(payloads: Column, parse: Callable[[Column], Column], rules: DocumentRules, names: Iterable[str]) -> Column:
-    parsed = F.transform(payloads, parse)
+def parse(payloads: Column, texts: Column, rules: Iterable[DocumentRules] | None = None) -> Column:
+    """struct of what every parser that the rules name makes of a document, each run once.
+
+    A parser of payloads has an array of maps, a machine-readable zone (td1, td3) one map, which is
+    null where its check digits are wrong. Make this a column before `identify` and `read` use it.
+    """
+    rules = list(builtin_rules() if rules is None else rules)
+    named = sorted({c.parser for r in rules for c in r.structured if c.kind == "qr" and c.parser in QR_PARSERS})
+    zone = {"td1": lambda z: F.when(td1_checks(z), td1(z)), "td3": lambda z: F.when(td3_checks(z), td3(z))}
+    zones = sorted({_zone_kind(c) for r in rules for c in r.structured if c.kind == "mrz"})
+    found = [F.transform(payloads, QR_PARSERS[p]).alias(p) for p in named]
+    found += [T.let(mrz_lines(texts, z), zone[z]).cast(MAP).alias(z) for z in zones]
+    return F.struct(F.lit(0).alias("_"), *found)
+
+
+def _zone_kind(code) -> str:
+    return "td3" if "td3" in (code.format, code.parser.removeprefix("mrz_")) else "td1"
+
+
+def _first_fit(parsed: Column, rules: DocumentRules, names: Iterable[str]) -> Column:
     return _first(F.transform(parsed, lambda m: F.when(_is_of(m, rules), only(m, names))))
 
 
@@ -190,13 +219,21 @@ def _missing_from(codes: Column, new: Column) -> Column:
 
 def identify(payloads: Column, hint: Column | None = None, rules: Iterable[DocumentRules] | None = None) -> Column:
     """struct<doc_type, codes> of the first type whose codes alone make a document up; null if none does. A hinted type is tried first."""
-    rules = [r for r in (builtin_rules() if rules is None else rules) if r.structured_complete]
+    rules = list(builtin_rules() if rules is None else rules)
+    return T.let(parse(payloads, F.array().cast("array<string>"), rules), lambda parsed: identified(parsed, hint, rules))
+
+
+def _named(doc_type: str) -> Callable[[Column], Column]:
+    return lambda codes: F.when(codes.isNotNull(), F.struct(F.lit(doc_type).alias("doc_type"), codes.cast(MAP).alias("codes")))
+
+
+def identified(parsed: Column, hint: Column | None, rules: Iterable[DocumentRules]) -> Column:
+    """`identify` of what `parse` has made."""
     tries = []
     for r in rules:
-        for c in r.structured:
+        for c in r.structured if r.structured_complete else ():
             if c.kind == "qr" and c.parser in QR_PARSERS:
-                fit = _first_fit(payloads, QR_PARSERS[c.parser], r, c.maps_to)
-                tries.append((r.doc_type, F.when(fit.isNotNull(), F.struct(F.lit(r.doc_type).alias("doc_type"), fit.cast(MAP).alias("codes")))))
+                tries.append((r.doc_type, T.let(_first_fit(parsed[c.parser], r, c.maps_to), _named(r.doc_type))))
     if not tries:
         return F.lit(None).cast(f"struct<doc_type:string,codes:{MAP}>")
     hinted = [F.when(hint == t, c) for t, c in tries] if hint is not None else []
@@ -208,24 +245,38 @@ def read(doc_type: Column, payloads: Column, texts: Column, rules: Iterable[Docu
 
     Machine-readable zones count only if their check digits are right.
     """
+    rules = list(builtin_rules() if rules is None else rules)
+    return T.let(parse(payloads, texts, rules), lambda parsed: codes_of(doc_type, parsed, rules))
+
+
+def _adding(new: Column, kind: str, names: Iterable[str]) -> Callable[[Column], Column]:
+    """From struct<codes, kinds> to the same with what `new` has of the named fields and codes lacks."""
+
+    def added(s: Column) -> Column:
+        gaps = _missing_from(s["codes"], F.coalesce(only(new, names), F.create_map().cast(MAP)))
+        kinds = lambda g: F.when((F.size(g) > 0) & ~F.array_contains(s["kinds"], kind), F.concat(s["kinds"], F.array(F.lit(kind)))).otherwise(s["kinds"])
+        return T.let(gaps, lambda g: F.struct(F.map_concat(s["codes"], g).alias("codes"), kinds(g).alias("kinds")))
+
+    return added
+
+
+def codes_of(doc_type: Column, parsed: Column, rules: Iterable[DocumentRules]) -> Column:
+    """`read` of what `parse` has made."""
     out = F.struct(F.create_map().cast(MAP).alias("codes"), F.array().cast("array<string>").alias("kinds"))
-    for r in builtin_rules() if rules is None else rules:
+    for r in rules:
         if not r.structured:
             continue
-        codes, kinds = F.create_map().cast(MAP), F.array().cast("array<string>")
+        state = F.struct(F.create_map().cast(MAP).alias("codes"), F.array().cast("array<string>").alias("kinds"))
         for c in r.structured:
             if c.kind == "qr" and c.parser in QR_PARSERS:
-                parsed = _first(F.transform(payloads, QR_PARSERS[c.parser]))
+                mine = _first(parsed[c.parser])
             elif c.kind == "mrz":
-                zone = "td3" if "td3" in (c.format, c.parser.removeprefix("mrz_")) else "td1"
-                lines = mrz_lines(texts, zone)
-                parsed = F.when(td3_checks(lines), td3(lines)) if zone == "td3" else F.when(td1_checks(lines), td1(lines))
+                mine = parsed[_zone_kind(c)]
             else:
                 continue
-            new = _missing_from(codes, F.coalesce(only(parsed, c.maps_to), F.create_map().cast(MAP)))
-            kinds = F.when((F.size(new) > 0) & ~F.array_contains(kinds, c.kind), F.concat(kinds, F.array(F.lit(c.kind)))).otherwise(kinds)
-            codes = F.map_concat(codes, new)
-        out = F.when(doc_type == r.doc_type, F.struct(codes.alias("codes"), kinds.alias("kinds"))).otherwise(out)
+
+            state = T.let(state, _adding(mine, c.kind, c.maps_to))
+        out = F.when(doc_type == r.doc_type, state).otherwise(out)
     return out
 
 
