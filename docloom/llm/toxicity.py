@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     """Terms are made on the executors; the driver gets each sampled row's buckets and fits the model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=1 << 19):
+        for batch in small_batches(batches, limit=1 << 18):
             row, bucket = _distinct(text_rows(batch), settings)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             packed = [bucket[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -229,7 +229,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     model = spark.sparkContext.broadcast(train(docs, labels, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=1 << 19):
+        for batch in small_batches(batches, limit=1 << 18):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.scores(text_rows(batch)))], ["doc_id", "score"])
 
     scored = as_binary(docs).mapInArrow(run, "doc_id long, score double")
