@@ -405,7 +405,7 @@ def merged_text(spark, sf_dir):
 
 @query("extract_documents")
 def extract_documents(spark, sf_dir):
-    """The fold over all fields. A state that consumes lines is beyond SQL; tests hold it against a plain restatement."""
+    """The fold over all fields. A state that consumes lines is beyond SQL; tests have cases made by hand."""
     docs = card_documents(spark, sf_dir).withColumn("doc_type", classify.classify(_texts())["doc_type"]).withColumn("codes", F.create_map().cast("map<string,string>"))
     return field_rows(extract_fields(docs, as_of=AS_OF))
 
