@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, filter_rows, small_batches, text_rows
+from .common import as_binary, filter_rows, give_back, small_batches, text_rows
 from .decontaminate import _BASE, _CHUNK, _VALUE, _WORD, _mix, _power
 
 _U = np.uint64
@@ -214,7 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     rows = training_rows(docs, labels, settings).mapInArrow(run, "doc_id long, toxic int, text_hash long, buckets binary")
     rows = rows.dropDuplicates(["doc_id", "text_hash"]).toArrow().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
     buckets = [np.frombuffer(b.as_buffer(), "<u4") for b in rows["buckets"]]
-    return fit(buckets, rows["toxic"].to_numpy().astype(float), settings)
+    model = fit(buckets, rows["toxic"].to_numpy().astype(float), settings)
+    del rows, buckets
+    give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
