@@ -289,3 +289,13 @@ def test_a_very_long_text(spark):
     bench = spark.createDataFrame([(7, " ".join(long.split()[500_000:500_050]))], "item_id long, text string")
     assert [len(r["found"]) for r in decontaminate.contamination(frame, bench).orderBy("doc_id").collect()] == [1, 1, 0]
     assert lines.drop_boilerplate(frame, min_pages=2).where("n_dropped > 0").count() == 0
+
+
+def test_maps_of_two_sizes_lose_no_similar_pair(spark):
+    """Sets on both sides of a map's size: the larger map is folded, and nothing that is similar is ruled out."""
+    words = [f"w{i}" for i in range(1_040)]
+    texts = [" ".join(words[: 1_040 - 20 * k]) for k in range(4)] + [" ".join(words[:400] + [f"x{i}" for i in range(640)])]
+    sizes = {len(similar._bitmap(similar.shingle_set(t.encode()))) for t in texts}
+    assert len(sizes) == 2
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
