@@ -305,17 +305,17 @@ def block_automaton(block: Block, counts: list[np.ndarray], base: np.ndarray, do
     states = n + 2
     for level, (_, at, place) in enumerate(block.grams(order), 2):
         seen = counts[level - 1]
-        now = np.where(place >= 0, seen[place], 0)
+        now = np.append(seen, 0)[place]  # place -1: not a gram of this order, of which a block may have none
         p = (now + prior * below) / (held + prior)
         at, c = at[seen > 0], seen[seen > 0]
-        state_of = np.full(len(seen), -1, np.int64)
+        state_of = np.full(len(seen) + 1, -1, np.int64)
         if level < order:
-            state_of[seen > 0] = states + np.arange(len(at))
+            state_of[:-1][seen > 0] = states + np.arange(len(at))
             states += len(at)
             # the longest context shorter than this one: at the first longer level the last word's, then the level's before
             fail.append(tokens[at] + 1 if level == 2 else shorter[at])
             cost.append(np.log10(prior / (c + prior)))
-            reached = np.where(place >= 0, state_of[place], -1)
+            reached = state_of[place]
         else:
             reached = tokens + 1 if level == 2 else shorter
         arcs.append(source[at] * n + tokens[at])
