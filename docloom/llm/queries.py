@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, html_extract, language_model, lines, shards, simhash, token_counts, toxicity
+from . import bpe, decontaminate, embeddings, html_extract, language_model, lines, periodic_runs, shards, simhash, suffixes, token_align, token_counts, toxicity
 from .common import scratch_path, table
 
 
@@ -57,8 +59,53 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.placed().select("doc_id", "run", "shard", "version", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("text_hash"))
 
 
+def with_loops(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, by the checksum of their doc_id, repeat a stretch of words from some place on to the end; a null doc_id changes nothing."""
+    h = zlib.crc32(b"%d" % doc_id) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document, a tenth of which are given one, as digests; the run that repeats most often is told."""
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), before=with_loops)
+    # length / period compared exactly: a greater exponent first, then the smaller start, then the smaller period
+    ahead = F.array_sort(
+        "runs",
+        lambda x, y: F.when(x["length"] * y["period"] > y["length"] * x["period"], -1)
+        .when(x["length"] * y["period"] < y["length"] * x["period"], 1)
+        .when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1))
+        .when(x["period"] != y["period"], F.when(x["period"] < y["period"], -1).otherwise(1))
+        .otherwise(0),
+    )
+    found = found.withColumn("best", F.try_element_at(ahead, F.lit(1)))
+    lines_of = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines_of.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.link_statistics(table(spark, sf_dir, "documents"))
+
+
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that stand anywhere else too, as a digest of what is left."""
+    found = suffixes.drop_repeats(table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html, op2_line_dedup, op3_simhash, op4_token_counts, op5_lm, op6_bpe, op7_embeddings, op8_decontaminate, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_html, op2_line_dedup, op3_simhash, op4_token_counts, op5_lm, op6_bpe, op7_embeddings, op8_decontaminate, op9_toxicity, op10_sharding, op11_periodic_runs, op12_token_align, op13_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
