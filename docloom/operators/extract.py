@@ -69,6 +69,11 @@ class Line:
         return self.fact("vietnamese", T.has_vietnamese)
 
 
+def read_line(no: int, o: dict) -> Line:
+    """A line of a row: a null text is '', a null coordinate 0, a null confidence 1."""
+    return Line(no, o["text"] or "", *(o[c] or 0.0 for c in "xywh"), 1.0 if o["confidence"] is None else o["confidence"])
+
+
 def prefix_span(tokens: list[str], start: int, label: str) -> int:
     """How many tokens from `start` make the label up, or begin with it; 0 if none do.
 
@@ -393,7 +398,7 @@ def extract_fields(docs: DataFrame, rules: Iterable[DocumentRules] | None = None
             fields, warned = [], []
             for kind, lines, codes in zip(batch.column(at).to_pylist(), batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True):
                 of = by_type.get(kind)
-                page = [Line(i, o["text"] or "", *(o[c] or 0.0 for c in "xywh"), 1.0 if o["confidence"] is None else o["confidence"]) for i, o in enumerate(lines or ()) if o is not None]
+                page = [read_line(i, o) for i, o in enumerate(lines or ()) if o is not None]
                 found, told = extract_document(page, of, dict(codes or ()), today) if of else ([], [])
                 fields.append(found)
                 warned.append(told)

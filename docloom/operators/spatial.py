@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from docloom.functions.pytext import key, post_process
-from docloom.operators.extract import LINES, TAKES, Found, Line, Page, prefix_span
+from docloom.operators.extract import LINES, TAKES, Found, Page, prefix_span, read_line
 from docloom.shipping import ship
 from docloom.sources.rules import FieldRule
 
@@ -34,7 +34,7 @@ def per_document(docs: DataFrame, schema: str, labels: Iterable[str], answer: Ca
         for batch in batches:
             ids, rows = [], []
             for doc_id, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = Page([Line(o["line_no"], o["text"] or "", o["x"], o["y"], o["w"], o["h"], 1.0 if o["confidence"] is None else o["confidence"]) for o in lines or ()], keys)
+                page = Page([read_line(o["line_no"], o) for o in lines or () if o is not None], keys)
                 for row in answer(page):
                     ids.append(doc_id)
                     rows.append(row)

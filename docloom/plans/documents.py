@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions.pytext import key as python_key
-from docloom.operators import classify, orientation, spatial, structured, validate
+from docloom.operators import classify, neighbours, orientation, spatial, structured, validate
 from docloom.operators import response as response_operators
 from docloom.operators.extract import extract_fields, field_rows
+from docloom.operators.labels import label_spans
 from docloom.plans.kernels import sql_find_date, sql_find_phrase, sql_key
 from docloom.plans.views import card_documents, view, with_views
 from docloom.sources import documents as sources
@@ -256,8 +257,9 @@ _LABELLED = with_views("card_line") + f", tok AS (SELECT *, {_TOKENS} AS ts FROM
 
 @query("label_match", _LABELLED + f" SELECT doc_id, line_no, CAST(coalesce({_span('hovaten')}, {_span('quequan')}, {_span('so')}, 0) AS BIGINT) AS span FROM tok")
 def label_match(spark, sf_dir):
-    """Tokens at a line's beginning that are a label."""
-    return spatial.label_spans(card_documents(spark, sf_dir), ["Họ và tên", "Quê quán", "Số"])
+    """Tokens at a line's beginning that are a label, through an index of deletions."""
+    return label_spans(card_documents(spark, sf_dir), ["Họ và tên", "Quê quán", "Số"])
+
 
 def _label_cte(name: str, keys: tuple[str, ...]) -> str:
     spans = ", ".join(_span(k) for k in keys)
@@ -269,16 +271,13 @@ _RIGHT = "o.doc_id = l.doc_id AND o.line_no <> l.line_no AND abs((o.y + o.h / 2)
 _UNDER = "o.doc_id = l.doc_id AND o.line_no <> l.line_no AND o.y + o.h / 2 > l.y + l.h - 0.3 * l.h AND o.x < l.x + l.w AND o.x + o.w > l.x"
 
 
-
-
-
 @query(
     "right_neighbor",
     _LABELLED + _label_cte("l", _NAME_KEYS) + f" SELECT l.doc_id, o.line_no, o.text FROM l JOIN card_line o ON {_RIGHT} QUALIFY row_number() OVER (PARTITION BY l.doc_id ORDER BY o.confidence < 0.6, NOT ({_VIET}), o.x, o.line_no) = 1",
 )
 def right_neighbor(spark, sf_dir):
     """J4, W2, P3, P5, P6, P10, W1."""
-    return spatial.right_neighbours(card_documents(spark, sf_dir), ["Họ và tên", "Full name"], vietnamese=True)
+    return neighbours.right_neighbours(card_documents(spark, sf_dir), ["Họ và tên", "Full name"], vietnamese=True)
 
 
 _ALL_KEYS = ("hovaten", "fullname", "ngaysinh", "quequan", "gioitinh", "so")
@@ -294,7 +293,7 @@ SELECT doc_id, line_no, text FROM near WHERE NOT {_IS_LABEL} AND y - (ly + lh) <
 )
 def below_value(spark, sf_dir):
     """Only the nearest line counts."""
-    return spatial.lines_below(card_documents(spark, sf_dir), ["Họ và tên"], _EVERY)
+    return neighbours.lines_below(card_documents(spark, sf_dir), ["Họ và tên"], _EVERY)
 
 
 @query(
@@ -308,8 +307,7 @@ SELECT dd.doc_id, coalesce(CASE WHEN {sql_find_date("l.text")} IS NOT NULL THEN
 )
 def date_after_label(spark, sf_dir):
     """On the label's line, else to its right, else among three lines under it."""
-    found = spatial.values(card_documents(spark, sf_dir), {"value": FieldRule("f", ("Ngày sinh",), "date_after_label")})
-    return found.select("doc_id", T.find_date(F.col("value")).alias("iso"))
+    return neighbours.dates_after(card_documents(spark, sf_dir), ["Ngày sinh"])
 
 
 _ORPHAN = f"{sql_find_date('o.text')} IS NULL AND {_VIET} AND len(list_filter(regexp_split_to_array(o.text, '\\s+'), lambda w: w <> '')) >= 2 AND NOT {_IS_LABEL}"
@@ -321,8 +319,7 @@ _ORPHAN = f"{sql_find_date('o.text')} IS NULL AND {_VIET} AND len(list_filter(re
 )
 def orphan_place(spark, sf_dir):
     """The first words under the last date."""
-    found = spatial.values(card_documents(spark, sf_dir), {"text": FieldRule("f", (), "vn_place_orphan")}, _EVERY)
-    return found.where("text is not null")
+    return neighbours.places_after_dates(card_documents(spark, sf_dir), _EVERY)
 
 
 @query(
@@ -331,8 +328,7 @@ def orphan_place(spark, sf_dir):
 )
 def orphan_name(spark, sf_dir):
     """The last words over the first date."""
-    found = spatial.values(card_documents(spark, sf_dir), {"text": FieldRule("f", (), "vi_name_orphan")}, _EVERY)
-    return found.where("text is not null")
+    return neighbours.names_before_dates(card_documents(spark, sf_dir), _EVERY)
 
 
 @query(
