@@ -180,7 +180,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> Dat
     A document with several labels is toxic if one of them says so; null labels and ids say nothing.
     Rows that repeat an id and its text are one. The sample is cut twice, so that both what is
     broadcast and what is learnt from is bounded by the settings: ids by their number, then the rows
-    that these ids have by their number and their texts' bytes.
+    that these ids have by their number and their texts' bytes. A row whose text does not fit into what
+    is left of its label's bytes is passed over.
     """
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -194,8 +195,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> Dat
     for label, most in ((1, settings.toxic_rows), (0, settings.other_rows)):
         left = settings.text_bytes // 2
         for row in sized.where(F.col("toxic") == label).orderBy(*order, "text_hash").limit(most).collect():  # four numbers from each of a bounded number of rows
-            left -= row["size"]
-            if left >= 0:
+            if row["size"] <= left:  # a row that does not fit is passed over, and not those after it
+                left -= row["size"]
                 chosen.append((row["doc_id"], row["text_hash"], label))
     mine = docs.sparkSession.createDataFrame(chosen, "doc_id long, text_hash long, toxic int")
     return texts.join(F.broadcast(mine), ["doc_id", "text_hash"]).select("doc_id", "text", "toxic", "text_hash")
