@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import as_binary, small_batches, text_rows
+from .common import as_binary, decoded, small_batches, text_rows
 
 #: Most pieces and token pairs that a process remembers; beyond it the memory is emptied and fills again.
 REMEMBERED = 200_000
@@ -214,7 +214,9 @@ class PrefixTable:
         return len(self.data) - start
 
     def ids(self) -> list[int]:
-        return self.encoder.encode(self.data)
+        """Read off the table; a piece that is a token as a whole is that token."""
+        whole = self.encoder.ranks.get(self.data)
+        return [whole] if whole is not None else self.encoder._ids(self.data, self.last)
 
 
 #: For texts of Latin-1 letters alone and the public pattern, the same split by the faster engine of the standard library.
@@ -289,8 +291,8 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
 
     ids are little-endian unsigned 32-bit integers in one binary; keep_ids = False leaves the column
     out. The digests are of the ids and of what decoding them gives, and are taken where both are
-    made, so that decoded bytes never leave the worker. Null and empty texts have no ids. Repeated
-    rows give repeated rows; a null doc_id is passed on. Nothing is shuffled; a task holds one small
+    made, so that decoded bytes never leave the worker. Null and empty texts have no ids. What is not
+    UTF-8 in a text is encoded, and decodes, as replacement characters (U+FFFD). Repeated rows give repeated rows; a null doc_id is passed on. Nothing is shuffled; a task holds one small
     batch of texts, or one long text.
     """
     names = ["doc_id", "n_tokens", *["ids"] * keep_ids, "ids_sha256", "decoded_sha256"]
@@ -299,7 +301,7 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
         encoder = text_encoder(ranks_path, pattern)
         sha = hashlib.sha256
         for batch in small_batches(batches, limit=1 << 20):
-            ids = [encoder.packed((t or b"").decode()) for t in text_rows(batch)]
+            ids = [encoder.packed(decoded(t)) for t in text_rows(batch)]
             back = [sha(encoder.unpacked(x)).hexdigest() for x in ids]
             kept = [pa.array(ids, pa.binary())] if keep_ids else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *kept, pa.array([sha(x).hexdigest() for x in ids]), pa.array(back)], names)

@@ -8,6 +8,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -48,21 +49,80 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-_written: list[tuple[SparkSession, str]] = []
+_owner: ContextVar[Scratch | None] = ContextVar("scratch owner", default=None)
+
+
+class Scratch:
+    """Owns the scratch tables made inside its `with` block, by this thread; at the block's end it deletes all but those kept, which pass to the owner outside.
+
+    Tables made outside any block live until the process ends, for a lazy result may still come from
+    them. A result that leaves a block must come from kept tables only.
+    """
+
+    def __init__(self) -> None:
+        self.made: list[tuple[SparkSession, str]] = []
+        self.kept: set[str] = set()
+
+    def __enter__(self) -> Scratch:
+        self._outer = _owner.get()
+        self._token = _owner.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _owner.reset(self._token)
+        stay = [x for x in self.made if x[1] in self.kept]
+        (self._outer or _forever).made.extend(stay)
+        self.made = [x for x in self.made if x[1] not in self.kept]
+        self.release()
+
+    def keep(self, *tables: DataFrame | str) -> None:
+        """Tables that `save` gave, or paths of `scratch_path`."""
+        self.kept.update(t if isinstance(t, str) else t._scratch_path for t in tables)
+
+    def release(self) -> None:
+        for spark, path in self.made:
+            try:
+                drop_scratch(spark, path)
+            except Exception:  # the session has ended; the shared folder's owner removes the rest
+                break
+        self.made = []
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    fs, p = hadoop_fs(spark, path)
+    fs.delete(p, True)
+
+
+_forever = Scratch()
+atexit.register(_forever.release)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/docloom/{name}-{uuid.uuid4().hex[:12]}"
-    _written.append((spark, path))
+    (_owner.get() or _forever).made.append((spark, path))
     return path
 
 
-def save(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as a table in the shared folder and read it again: this cuts the lineage at a place that outlives executors."""
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, name: str = "t", path: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: this cuts the lineage at a place that outlives executors.
+
+    The shuffle files of the writing go with its end, where Spark knows how (4.1): else they would
+    stay on executors' disks until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = path or scratch_path(spark, name)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
 def hadoop_fs(spark: SparkSession, path: str):
@@ -72,30 +132,6 @@ def hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def scratch_mark() -> int:
-    """A point in time to release scratch tables from."""
-    return len(_written)
-
-
-def release_scratch(since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Delete this process's scratch tables made after a mark, but for those kept.
-
-    Results that were not written or read yet and come from these become unreadable.
-    """
-    mine, _written[since:] = _written[since:], [w for w in _written[since:] if w[1] in keep]
-    for spark, path in mine:
-        if path in keep:
-            continue
-        try:
-            fs, p = hadoop_fs(spark, path)
-            fs.delete(p, True)
-        except Exception:  # the session has ended; the shared folder's owner removes the rest
-            return
-
-
-atexit.register(release_scratch)
-
-
 def input_bytes(df: DataFrame) -> int:
     """The planner's estimate of df's size; for a scan, the size of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -138,6 +174,11 @@ def spare(df: DataFrame, stem: str) -> str:
 # ---------------------------------------------------------------- Arrow helpers
 
 
+def decoded(text: bytes | None) -> str:
+    """A text as a string; null is empty, and bytes that are not UTF-8 are U+FFFD each time that a browser would show one."""
+    return (text or b"").decode(errors="replace")
+
+
 def text_rows(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 

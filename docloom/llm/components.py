@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import Scratch, save
 
 
 def _with_least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -36,16 +36,22 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
     Every round is written to the shared folder, so a lost executor costs one round at most. Nothing but
     two numbers a round comes to the driver. Rounds grow with the logarithm of the longest chain.
     """
+    with Scratch() as mine:
+        edges = _settled(links, src, dst, max_rounds)
+        mine.keep(edges)
+    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _settled(links: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
+    """Stars (u, v): every node but a component's least, with the least."""
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
     edges = save(links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     seen = None
     for _ in range(max_rounds):
         state = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if tuple(state) == seen or not state[0]:
-            break
+            return edges
         seen = tuple(state)
         edges = save(_one_round(edges), "links")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docloom.shipping import ship
 
-from .common import filter_rows, quoted, save, small_batches
+from .common import filter_rows, quoted, save, small_batches, spare
 
 LEAST_RUN = 5
 COVERAGE = 0.8
@@ -364,9 +364,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, run: int = LEAST_RUN, c
     """The rows of docs, with all their columns, in which no test item is found, by the rules of `contamination`."""
     few = suspects(docs, benchmark, run, block_bytes)
     if few is not None:
-        gone = _search(few, benchmark, run, coverage, block_bytes).where("size(found) > 0").select(F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("g")).distinct()
+        h, g = spare(docs, "h"), spare(docs, "g")
+        gone = _search(few, benchmark, run, coverage, block_bytes).where("size(found) > 0").select(F.xxhash64("text").alias(h), F.xxhash64("text", F.lit(1)).alias(g)).distinct()
         text = quoted("text").cast("binary")
-        return docs.join(save(gone, "gone"), (F.xxhash64(text) == F.col("h")) & (F.xxhash64(text, F.lit(1)) == F.col("g")), "left_anti")
+        return docs.join(save(gone, "gone"), (F.xxhash64(text) == F.col(h)) & (F.xxhash64(text, F.lit(1)) == F.col(g)), "left_anti")
     blocks = list(_passes(docs, benchmark, run, coverage, block_bytes))  # one, or none
     if not blocks:
         return docs

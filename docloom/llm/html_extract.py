@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from docloom.shipping import ship
 
-from .common import map_rows, quoted, small_batches, without
+from .common import decoded, map_rows, quoted, small_batches, without
 from .dom import Node, describe, parse, text_of
 
 # ---------------------------------------------------------------- boosted trees
@@ -289,7 +289,7 @@ def train(pages: int = 1500, seed: int = 20240301) -> Extractor:
 def extract(pages: DataFrame, extractor: Extractor | None = None, html: str = "html") -> DataFrame:
     """pages with two more columns: text, the main text of `html`, and n_chars, its code points.
 
-    Null and empty html give ''. All rows and other columns stay, repeated pages too, and an empty
+    Null and empty html give ''; what is not UTF-8 is read as replacement characters (U+FFFD). All rows and other columns stay, repeated pages too, and an empty
     table gives no rows; columns named text and n_chars, in any case, are replaced. Pages are never
     shuffled; a task holds a small batch of pages, or one long page.
     """
@@ -303,7 +303,7 @@ def extract(pages: DataFrame, extractor: Extractor | None = None, html: str = "h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, len(others), 2 << 20):
-            texts = shared.value.texts([(h or b"").decode() for h in batch.column(batch.num_columns - 1).to_pylist()])
+            texts = shared.value.texts([decoded(h) for h in batch.column(batch.num_columns - 1).to_pylist()])
             lengths = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), lengths], schema.names)
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, as_binary, save, small_batches, text_rows
+from .common import ASCII_LOWER, Scratch, as_binary, quoted, save, small_batches, spare, text_rows
 from .components import connected_components
 
 SEED = 42
@@ -100,19 +100,21 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     stay; a row with a null doc_id is fingerprinted, names no component, and gets that of its group
     (null if the group has no other). An empty table gives no rows.
     """
-    fps = save(fingerprints(docs, width), "fps")
-    distinct = save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    return named_groups(fps, distinct, connected_components(ball_links(distinct)))
+    with Scratch() as mine:
+        fps = save(fingerprints(docs, width), "fps")
+        distinct = save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+        named = named_groups(distinct, connected_components(ball_links(distinct)))
+        mine.keep(fps, named)
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "text_hash")
 
 
-def named_groups(fps: DataFrame, distinct: DataFrame, components: DataFrame) -> DataFrame:
-    """fps(doc_id, fp, text_hash) with component_id, the least first_id of distinct(fp, first_id) in the fp's component(node, component)."""
+def named_groups(distinct: DataFrame, components: DataFrame) -> DataFrame:
+    """(fp, component_id): for distinct(fp, first_id), the least first_id of the fp's component(node, component)."""
     nodes = components.withColumnRenamed("node", "fp")
     rooted = save(distinct.join(nodes, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     salt = F.pmod(F.xxhash64("root"), F.lit(65_521))
-    by_fp = save(rooted.withColumn("k", salt).join(named.withColumn("k", salt), ["root", "k"]).select("fp", "component_id"), "by_fp")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", "text_hash")
+    return save(rooted.withColumn("k", salt).join(named.withColumn("k", salt), ["root", "k"]).select("fp", "component_id"), "by_fp")
 
 
 def hex_fingerprint(fp: str = "fp"):
@@ -131,6 +133,6 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def keep_least(docs: DataFrame, near: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is their group's component_id in near(doc_id, component_id, text_hash), or null."""
-    h = F.xxhash64(F.col("text").cast("binary"))
-    gone = near.where("doc_id > component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(gone, (docs["doc_id"] == F.col("__id")) & (h == F.col("__hash")), "left_anti")
+    i, h = spare(docs, "i"), spare(docs, "h")
+    gone = near.where("doc_id > component_id").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    return docs.join(gone, (quoted("doc_id") == F.col(i)) & (F.xxhash64(quoted("text").cast("binary")) == F.col(h)), "left_anti")

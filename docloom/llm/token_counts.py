@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from docloom.shipping import ship
 
 from .bpe import default_ranks, read_ranks, text_encoder
-from .common import as_binary, hadoop_fs, save, scratch_path, small_batches, text_rows
+from .common import as_binary, decoded, hadoop_fs, save, scratch_path, small_batches, text_rows
 
 BLOCK_TOKENS = 1 << 16
 #: Blocks in a group of the prefix scan: no window holds more rows of a file.
@@ -59,8 +59,11 @@ def flat_file_blocks(spark: SparkSession, path: str, width: int = 2, block_token
 
 
 def id_width(eod: int, ranks_path: str | None = None) -> int:
-    """Bytes of an id: two where the vocabulary's ids and the end of a document all fit."""
-    return 2 if max(eod, *read_ranks(ranks_path or default_ranks()).values()) < 1 << 16 else 4
+    """Bytes of an id: two where the vocabulary's ids and the end of a document all fit. The end must be no id of the vocabulary."""
+    ids = set(read_ranks(ranks_path or default_ranks()).values())
+    if eod in ids:
+        raise ValueError(f"{eod} is a token of the vocabulary and cannot end documents")
+    return 2 if max(eod, *ids) < 1 << 16 else 4
 
 
 def write_flat(docs: DataFrame, folder: str, eod: int, ranks_path: str | None = None, width: int | None = None) -> DataFrame:
@@ -87,15 +90,19 @@ def write_flat(docs: DataFrame, folder: str, eod: int, ranks_path: str | None =
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([named], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "first", "names"])
 
-        with store.open_output_stream(draft) as out:
-            for batch in small_batches(batches):
-                for doc_id, text in zip(batch.column(0).to_pylist(), text_rows(batch), strict=True):
-                    packed = np.frombuffer(encoder.packed((text or b"").decode()), "<u4")
-                    out.write(packed.astype(dtype).tobytes() + end)
-                    ids.append(doc_id)
-                    if len(ids) == _NAMES:
-                        yield row()
-                        named, ids = named + len(ids), []
+        try:
+            with store.open_output_stream(draft) as out:
+                for batch in small_batches(batches):
+                    for doc_id, text in zip(batch.column(0).to_pylist(), text_rows(batch), strict=True):
+                        packed = np.frombuffer(encoder.packed(decoded(text)), "<u4")
+                        out.write(packed.astype(dtype).tobytes() + end)
+                        ids.append(doc_id)
+                        if len(ids) == _NAMES:
+                            yield row()
+                            named, ids = named + len(ids), []
+        except BaseException:
+            store.delete_file(draft)  # a failed attempt leaves nothing
+            raise
         if store.get_file_info(f"{inner}/{name}").type != pafs.FileType.NotFound:
             store.delete_file(f"{inner}/{name}")  # of an attempt before this one
         store.move(draft, f"{inner}/{name}")
@@ -154,7 +161,7 @@ def document_lengths(summaries: DataFrame, block_tokens: int = BLOCK_TOKENS) ->
 def count_documents(docs: DataFrame, eod: int = 50_256, ranks_path: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, file, ordinal) of every row of docs: encoded to flat files, then counted from these alone.
 
-    Null and empty texts have 0 tokens. Repeated rows and null ids are counted row by row; an empty
+    Null and empty texts have 0 tokens; what is not UTF-8 counts as replacement characters. Repeated rows and null ids are counted row by row; an empty
     table gives no rows. file is the number of the flat file.
     """
     spark, width = docs.sparkSession, id_width(eod, ranks_path)

@@ -1,8 +1,14 @@
 """Cases at the edges of the operators: what is empty, null, invalid, repeated or clashes."""
 
+import hashlib
+import random
+import zlib
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
+from pyspark.sql import functions as F
 
-from docloom.llm import language_model
+from docloom.llm import bpe, common, decontaminate, html_extract, language_model, periodic_runs, similar, simhash, token_counts, toxicity
 
 
 @pytest.mark.parametrize("order", [2, 3, 4])
@@ -13,3 +19,92 @@ def test_blocks_without_grams(spark, order, rows):
     got = {r["doc_id"]: r for r in language_model.score_documents(frame, order=order, block_tokens=1).collect()}
     assert {i: r["n_tokens"] for i, r in got.items()} == {i: len((t or "").split()) + 1 for i, t in rows}
     assert all(r["score"] <= 0 for r in got.values())
+
+
+def test_clashing_names_in_anti_joins(spark):
+    """Columns named like those of the joins inside; a benchmark of two blocks."""
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "v w x y z"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("__id", "__hash", "h", "g", "i", "K"):
+        frame = frame.withColumn(name, F.lit(1))
+    for kept in (similar.keep_one(frame), simhash.keep_one(frame)):
+        assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {1, 3, None}
+    items = [(1, "v w x y z"), (2, "p q r s t u"), (3, "k l m n o p")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept = decontaminate.decontaminate(frame, bench, block_bytes=8)
+    assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, None}
+
+
+def test_invalid_utf8_is_replaced(spark):
+    """x'61ff62' reads as a, U+FFFD, b."""
+    frame = spark.sql("SELECT 1L AS doc_id, CAST(x'61ff62' AS STRING) AS text, 's' AS source, 'u' AS url")
+    want = bpe.text_encoder().packed("a�b")
+    (row,) = bpe.encode_documents(frame).collect()
+    assert bytes(row["ids"]) == want and row["decoded_sha256"] == hashlib.sha256("a�b".encode()).hexdigest()
+    assert [r["n_tokens"] for r in token_counts.count_documents(frame).collect()] == [len(want) // 4]
+    page = spark.sql("SELECT 1L AS page_id, 'u' AS url, CAST(concat('<article><p>', repeat('Plain words of a story. ', 20), CAST(x'ff' AS STRING), '</p></article>') AS STRING) AS html")
+    (row,) = html_extract.extract(page).collect()
+    assert row["text"].endswith("story. �")
+    assert periodic_runs.periodic_runs(frame).first()["n_words"] == 1
+
+
+def test_a_text_that_does_not_fit_shuts_out_no_other(spark):
+    """The longest toxic text may come first in the sample: the others are learnt from all the same."""
+    rows = [(i, "plain words of the day " + f"w{i}" * (1 + 3_000 * (i == 7))) for i in range(40)] + [(100 + i, f"vile rotten slur {i}" + " slur" * (20_000 if i % 5 == 0 else 1)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    settings = toxicity.Settings(text_bytes=40_000)
+    learnt = toxicity.training_rows(docs, labels, settings).collect()
+    fits = [i for i, t in rows if len(t) < 20_000 and zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r["doc_id"] for r in learnt) == fits
+    assert sum(len(bytes(r["text"])) for r in learnt) <= 40_000
+
+
+def test_tables_belong_to_their_block(spark):
+    """A block deletes its own tables, keeps what it says, and leaves those of other blocks and threads alone."""
+
+    def there(path):
+        fs, p = common.hadoop_fs(spark, path)
+        return fs.exists(p)
+
+    frame = spark.range(3).toDF("n")
+    lazy = common.save(frame)
+    with common.Scratch():
+        with common.Scratch() as inner:
+            kept, gone = common.save(frame), common.save(frame)
+            inner.keep(kept)
+        with ThreadPoolExecutor(1) as other:
+            theirs = other.submit(common.save, frame).result()
+        assert there(kept._scratch_path) and not there(gone._scratch_path)
+    assert not there(kept._scratch_path)
+    assert there(theirs._scratch_path) and lazy.count() == 3
+
+
+def test_prefix_tables_are_what_is_read():
+    """ids come from the table that appends and edits keep; after any edit they are tiktoken's."""
+    encoder = bpe.text_encoder().bpe
+    table = encoder.prefixes(b"internationalisation")
+    table.last[-1] = encoder.ranks[b"n"]
+    assert table.ids()[-1] == encoder.ranks[b"n"]
+    rnd = random.Random(2)
+    table = encoder.prefixes(b"the antidisestablishmentarianism")
+    for _ in range(60):
+        start = rnd.randrange(len(table.data) + 1)
+        table.edit(start, min(len(table.data), start + rnd.randrange(5)), bytes(rnd.choice(b"abcdeing ") for _ in range(rnd.randrange(6))))
+        assert table.ids() == encoder.encode(table.data)
+
+
+def test_the_end_of_documents_is_no_token(spark):
+    with pytest.raises(ValueError, match="token of the vocabulary"):
+        token_counts.id_width(11)
+
+
+def test_lists_of_frequent_shingles_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SAMPLE_EACH", 1)
+    rows = [(i, f"a b c d e f {'x y z u v w' if i % 2 else ''} {i}") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys, levels = similar.frequent_shingles(docs)
+    assert len(keys) > 2 and (keys[1:] > keys[:-1]).all() and levels.max() == 6
+    few, _ = similar.frequent_shingles(docs, most=2)
+    assert len(few) == 2 and set(few) == set(keys[levels == 6])
+    assert len(similar.frequent_shingles(docs, most=1)[0]) == 0
