@@ -279,6 +279,20 @@ def cidr_allow(spark, sf_dir):
     return c.select("c_custkey", R.ip_allowed(F.expr(_HOST.format("STRING")), ["10.1.0.0/16", "10.2.0.0/17", "not a network"]).alias("allowed"))
 
 
+_HOST6 = "CASE WHEN c_custkey % 11 = 0 THEN 'testclient:80' WHEN c_custkey % 2 = 0 THEN concat('2001:DB8:', CAST(c_custkey % 4 AS {0}), '::', CAST(c_custkey % 10 AS {0})) ELSE concat('2001:0db8:0:0:0:ffff:10.0.', CAST(c_custkey % 4 AS {0}), '.', CAST(c_custkey % 256 AS {0})) END"
+
+
+@query(
+    "cidr_allow6",
+    f"SELECT c_custkey, {_HOST6.format('VARCHAR')} AS host, c_custkey % 11 = 0 OR (c_custkey % 2 = 0 AND (c_custkey % 4 = 2 OR c_custkey % 10 >= 8)) OR (c_custkey % 2 = 1 AND c_custkey % 4 = 1 AND c_custkey % 256 < 128) AS allowed FROM customer",
+)
+def cidr_allow6(spark, sf_dir):
+    """Addresses of the other family, in several spellings; a host with a port is no address."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("host", F.expr(_HOST6.format("STRING")))
+    networks = ["2001:db8:2::/48", "2001:db8::8/125", "2001:db8::ffff:10.0.1.0/121", "10.0.0.0/8", "no:network"]
+    return c.select("c_custkey", "host", R.ip_allowed(F.col("host"), networks).alias("allowed"))
+
+
 @query("cidr_filter", "SELECT c_custkey FROM customer WHERE c_custkey % 11 = 0 OR c_custkey % 4 = 3")
 def cidr_filter(spark, sf_dir):
     """Only allowed hosts get through."""
