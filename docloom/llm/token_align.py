@@ -7,10 +7,11 @@ decoded bytes tell the rest: characters of several bytes may be cut within, as b
 byte-fallback pieces do. Places where both have a token's end cut the text into groups, and within a
 group tokens whose byte ranges overlap are linked.
 
-Neither tokenizer joins what stands before a space that follows something else with what stands after:
-the byte-level pattern begins a match there, and no piece of the other has a space inside but pieces of
-spaces alone (checked when the model is read). So the text is aligned chunk by chunk, and a chunk that
-was seen before is not aligned again.
+Neither tokenizer joins what stands before white space that follows something else, or before punctuation
+that follows a letter, with what stands after: the byte-level pattern begins a match there, and no piece
+of the other has both (which its vocabulary tells; characters that some piece has there are no cuts). So
+the text is aligned chunk by chunk: white space and what follows it up to the next, and of those not seen
+before, words and the punctuation at their end apart. What was seen before is not aligned again.
 
 The counts of linked id pairs over the corpus come by one exchange: blocks of documents send each
 distinct pair once, with how often they have it, and the totals go back to the blocks that asked.
@@ -21,8 +22,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +35,18 @@ from pyspark.sql import functions as F
 
 from .common import as_binary, partitions_for, save, small_batches, text_rows
 
-#: Chunks that a process remembers; beyond it the memory is emptied and fills again.
-REMEMBERED = 200_000
+#: Chunks that a process remembers; then those that were not met since the last time are forgotten.
+REMEMBERED = 150_000
+#: Characters of chunks that are encoded together.
+TOGETHER = 1 << 15
 #: Chunks of up to so many characters are remembered.
 SHORT = 64
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 4 << 20
 
 _SPACE = "▁"
-_CHUNKS = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
+#: Put before a chunk that does not begin with a space: both tokenizers cut between the two, as they cut before the chunk in its text.
+_BEFORE = " a"
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,9 +67,10 @@ class ByteLevel:
         letters = byte_letters()
         self.bytes_of = {i: bytes(map(letters.__getitem__, t)) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(map(letters.__contains__, t))}
 
-    def spans(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+    def spans(self, text: str) -> tuple[list[int], np.ndarray]:
+        """Ids, and (begin, end) of each in characters."""
         found = self.tokenizer.encode(text, add_special_tokens=False)
-        return found.ids, found.offsets
+        return found.ids, np.fromiter(chain.from_iterable(found.offsets), np.int64).reshape(-1, 2)
 
 
 class Pieces:
@@ -75,115 +82,180 @@ class Pieces:
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size())]
         self.bytes_of = {i: bytes([int(p[3:5], 16)]) if self.processor.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)}
-        #: Whether no piece holds a space after something else.
-        self.parts_at_spaces = not any(_SPACE in p[1:] and p.strip(_SPACE) for p in pieces)
+        #: White space that some piece has after something else, and punctuation that some piece has after a letter.
+        self.joined = {y for p in pieces for x, y in pairwise(p.replace(_SPACE, " ")) if y.isspace() and not x.isspace() or x.isalpha() and not y.isalnum()}
 
-    def spans(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids, and spans in characters of space + text. Of a character's byte-fallback pieces, the last has its span, and those before are empty."""
+    def spans(self, text: str) -> tuple[list[int], np.ndarray]:
+        """Ids, and (begin, end) of each in characters of space + text. Of a character's byte-fallback pieces, the last has its span, and those before are empty."""
         found = self.processor.encode(text, return_type="proto").pieces
-        spans = [(p.begin + 1 if i else 0, p.end + 1) for i, p in enumerate(found)]
+        ends = np.array([p.end for p in found], np.int64) + 1
         if not text.isascii():  # the proto counts bytes
-            at = {0: 0, 1: 1} | {end + 1: i + 2 for i, end in enumerate(accumulate(len(c.encode()) for c in text))}
-            spans = [(at[begin], at[end]) for begin, end in spans]
-        return [p.id for p in found], spans
+            ends = np.searchsorted(_character_ends(" " + text), ends, "left") + 1
+        return [p.id for p in found], np.stack([np.append(0, ends)[:-1], ends], 1)  # each piece begins where the last one ends
 
 
-def _boundaries(spans: list[tuple[int, int]]) -> dict[int, int]:
-    """Characters at which a token ends and the next one begins, with how many tokens end up to there; empty spans are part of what follows."""
-    out: dict[int, int] = {}
-    for i, (_, end) in enumerate(spans):
-        if i + 1 == len(spans) or spans[i + 1][0] == end:
-            out.setdefault(end, i + 1)
-    return out
+def _character_ends(text: str) -> np.ndarray:
+    """Where each character ends, in bytes of UTF-8."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))
 
 
-def coarse_cuts(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """How many tokens of either end at each character that is a boundary of both."""
-    left, right = _boundaries(a), _boundaries(b)
-    return [(i, right[at]) for at, i in left.items() if at in right]
+def boundaries(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, characters): how many tokens end, and the next begins, at a character; empty spans are part of what follows."""
+    stops = np.append(spans[1:, 0] == spans[:-1, 1], True)
+    at = np.flatnonzero(stops)
+    ends, first = np.unique(spans[at, 1], return_index=True)
+    return at[first] + 1, ends
 
 
-class Aligned:
-    """What two tokenizers make of a chunk: groups of ids that cover the same bytes, and links of ids whose bytes overlap."""
+def token_ends(sizes: np.ndarray, spans: np.ndarray, character_ends: np.ndarray | None) -> np.ndarray | None:
+    """The byte at which each token ends: at a boundary by its span, inside a character by the bytes decoded since; None where the two disagree.
 
-    def __init__(self, groups: list[tuple[list[int], list[int]]], links: list[int]):
-        self.groups = groups
-        self.n_a, self.n_b, self.n_groups, self.n_links = sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), len(links)
-        self.text = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
-        self.links = np.array(links, np.int64).tobytes()
+    character_ends is None for ASCII, where characters are bytes.
+    """
+    ends = np.cumsum(sizes)
+    tokens, characters = boundaries(spans)
+    coarse = characters if character_ends is None else character_ends[characters - 1]
+    return ends if np.array_equal(ends[tokens - 1], coarse) else None
+
+
+class Aligned(NamedTuple):
+    """What two tokenizers make of a chunk: groups of ids that cover the same bytes, as text, and links of ids whose bytes overlap, packed."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    text: str
+    links: bytes
+
+    @property
+    def groups(self) -> list[tuple[list[int], list[int]]]:
+        return [tuple([*map(int, ids.split(","))] for ids in group.split("|")) for group in self.text.split(";")]
 
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         with open(path_a, encoding="utf-8") as spec:
-            self._split = json.load(spec)["pre_tokenizer"]["type"] == "ByteLevel" and self.b.parts_at_spaces
-        self._seen: dict[str, Aligned | None] = {}
+            level = json.load(spec)["pre_tokenizer"]
+        kept = re.escape("".join(sorted(self.b.joined - {" "}))) + r"\x1c-\x1f"
+        space, other = rf"[^\S{kept}]\s*", rf"(?:\S+|[{kept}]\s*)"
+        parts = level["type"] == "ByteLevel" and level["use_regex"] and " " not in self.b.joined
+        self._split = re.compile(rf"{space}{other}*|{other}+").findall if parts else None
+        self._marks = "".join(c for c in string.punctuation if c not in self.b.joined)
+        self._bytes = [[x.bytes_of.get(i, b"") for i in range(max(x.bytes_of) + 1)] for x in (self.a, self.b)]
+        self._sizes = [np.array([*map(len, x)], np.int64) for x in self._bytes]
+        #: Each id and what stands after it: in its group, and at its end.
+        self._names = [[np.array([f"{i}{mark}" for i in range(len(x))], object) for mark in marks] for x, marks in zip(self._bytes, (",|", ",;"), strict=True)]
+        self._new: dict[str, Aligned | None] = {}
+        self._old: dict[str, Aligned | None] = {}
 
     def chunks(self, spaced: str) -> list[str]:
-        return _CHUNKS.split(spaced) if self._split else [spaced]
+        return self._split(spaced) if self._split else [spaced]
+
+    def parts(self, chunk: str) -> list[str]:
+        """A word and the punctuation at its end; else the chunk itself."""
+        word = chunk.rstrip(self._marks)
+        return [word, chunk[len(word) :]] if self._split and len(word) < len(chunk) and word[-1:].isalpha() else [chunk]
+
+    def align(self, chunks: list[str]) -> dict[str, Aligned | None]:
+        """Of chunks of space + text; None for those where a tokenizer's tokens are not its bytes.
+
+        Chunks that end in no white space stay apart when they are joined, so they are encoded together.
+        """
+        out: dict[str, Aligned | None] = {}
+        part: list[str] = []
+        size = 0
+        for chunk in chunks:
+            if self._split is None or chunk[-1].isspace() or _SPACE in chunk:
+                out[chunk] = self._aligned([chunk] if self._split is None else [_BEFORE, chunk])[-1]
+                continue
+            if chunk[0] != " ":
+                part.append(_BEFORE)
+            part.append(chunk)
+            size += len(chunk) + 2
+            if size >= TOGETHER:
+                out.update(zip(part, self._aligned(part), strict=True))
+                part, size = [], 0
+        out.update(zip(part, self._aligned(part), strict=True))
+        return out
 
-    def align(self, spaced: str) -> Aligned | None:
-        """Of space + text; None where a tokenizer's tokens are not its bytes."""
+    def _aligned(self, chunks: list[str]) -> list[Aligned | None]:
+        if not chunks:
+            return []
+        spaced = "".join(chunks)
+        data = spaced.encode()
         ids_a, spans_a = self.a.spans(spaced)
         ids_b, spans_b = self.b.spans(spaced[1:])
-        if spaced == " ":  # the model puts no space before nothing
-            return None
-        bytes_a, bytes_b = ([x.bytes_of.get(i, b"") for i in ids] for x, ids in ((self.a, ids_a), (self.b, ids_b)))
-        if not b"".join(bytes_a) == b"".join(bytes_b) == spaced.encode():
-            return None
-        groups: list[tuple[list[int], list[int]]] = []
-        links: list[int] = []
-        i = j = 0
-        for stop_a, stop_b in coarse_cuts(spans_a, spans_b):
-            self._refine(ids_a[i:stop_a], bytes_a[i:stop_a], ids_b[j:stop_b], bytes_b[j:stop_b], groups, links)
-            i, j = stop_a, stop_b
-        return Aligned(groups, links)
-
-    @staticmethod
-    def _refine(ids_a: list[int], bytes_a: list[bytes], ids_b: list[int], bytes_b: list[bytes], groups: list, links: list) -> None:
-        """Between two coarse cuts, by the lengths of decoded bytes."""
-        i = j = first_a = first_b = 0
-        end_a, end_b = len(bytes_a[0]), len(bytes_b[0])
-        while True:
-            links.append(ids_a[i] << 32 | ids_b[j])
-            at = min(end_a, end_b)
-            both = end_a == end_b
-            if end_a == at:
-                i += 1
-            if end_b == at:
-                j += 1
-            if both:
-                groups.append((ids_a[first_a:i], ids_b[first_b:j]))
-                first_a, first_b = i, j
-                if i == len(ids_a):
-                    return
-            if end_a == at:
-                end_a += len(bytes_a[i])
-            if end_b == at:
-                end_b += len(bytes_b[j])
-
-    def document(self, text: bytes | None) -> list[Aligned]:
-        """The chunks of a text; none for null, empty and invalid texts, and where tokens are not the text's bytes."""
-        try:
-            spaced = " " + (text or b"").decode()
-        except UnicodeDecodeError:
-            return []
+        same = all(b"".join(map(x.__getitem__, ids)) == data for x, ids in zip(self._bytes, (ids_a, ids_b), strict=True))
+        if not same:  # of one chunk at least: each by itself
+            return [None] * len(chunks) if len(chunks) <= 2 else [self._aligned([_BEFORE, c])[-1] for c in chunks]
+        characters = None if len(data) == len(spaced) else _character_ends(spaced)
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a = token_ends(self._sizes[0][a], spans_a, characters)
+        ends_b = token_ends(self._sizes[1][b], spans_b, characters)
+        if ends_a is None or ends_b is None:
+            raise ValueError("spans and decoded bytes of a tokenizer disagree")
+        # Two tokens overlap in one stretch; stretches end where a token of either does.
+        stretches = np.union1d(ends_a, ends_b)
+        links = a[np.searchsorted(ends_a, stretches)] << 32 | b[np.searchsorted(ends_b, stretches)]
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        stop_a, stop_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1
+        told = np.empty(len(a) + len(b), object)  # a group's a ids, then its b ids, then the next group's
+        for names, ids, stop, before in zip(self._names, (a, b), (stop_a, stop_b), (np.append(0, stop_b), stop_a), strict=True):
+            last = np.zeros(len(ids), bool)
+            last[stop - 1] = True
+            group = np.cumsum(last) - last
+            told[np.arange(len(ids)) + before[group]] = np.where(last, names[1][ids], names[0][ids])
+        pieces = told.tolist()
+        own = np.cumsum([len(c) for c in chunks])
+        own = own if characters is None else characters[own - 1]
+        to = [(np.searchsorted(x, own) + 1).tolist() for x in (ends_a, ends_b, cuts, stretches)]
+        packed = links.tobytes()
+        i = j = k = m = 0
+        out: list[Aligned | None] = []
+        for i2, j2, k2, m2 in zip(*to, strict=True):
+            out.append(Aligned(i2 - i, j2 - j, k2 - k, m2 - m, "".join(pieces[i + j : i2 + j2])[:-1], packed[8 * m : 8 * m2]))
+            i, j, k, m = i2, j2, k2, m2
+        return out
+
+    def documents(self, texts: list[bytes | None]) -> list[list[Aligned]]:
+        """The chunks of each text; none for null, empty and invalid texts, and where tokens are not the text's bytes."""
+        split: list[list[str]] = []
+        for text in texts:
+            try:
+                split.append(self.chunks(" " + text.decode()) if text else [])
+            except UnicodeDecodeError:
+                split.append([])
+        if len(self._new) >= REMEMBERED:
+            self._new, self._old = {}, self._new
+        new, old = self._new, self._old
+        met = set(chain.from_iterable(split)) - new.keys()
+        parts = {c: self.parts(c) for c in met if c not in old}
+        todo = set(chain.from_iterable(parts.values())) - new.keys() - old.keys()
+        fresh = self.align(list(todo))
+        for chunk in met:
+            if chunk in old:
+                fresh[chunk] = old[chunk]
+            elif len(parts[chunk]) > 1:
+                found = [fresh[c] if c in fresh else new[c] if c in new else old[c] for c in parts[chunk]]
+                fresh[chunk] = None if None in found else joined(found)
+        new.update((c, x) for c, x in fresh.items() if len(c) <= SHORT)
         out = []
-        for chunk in self.chunks(spaced) if text else ():
-            found = self._seen.get(chunk, chunk)
-            if found is chunk:
-                found = self.align(chunk)
-                if len(chunk) <= SHORT:
-                    if len(self._seen) >= REMEMBERED:
-                        self._seen.clear()
-                    self._seen[chunk] = found
-            if found is None:
-                return []
-            out.append(found)
+        for own in split:
+            found = [*map(new.get, own)]
+            if None in found:  # a long chunk, or one that cannot be aligned
+                found = [new.get(c) or fresh.get(c) for c in own]
+            out.append([] if None in found else found)
         return out
 
 
+def joined(parts: list[Aligned]) -> Aligned:
+    *counts, texts, links = zip(*parts, strict=True)
+    return Aligned(*map(sum, counts), ";".join(texts), b"".join(links))
+
+
 def default_paths() -> tuple[str, str]:
     import public_tokenizers
 
@@ -212,7 +284,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
         for batch in small_batches(batches, limit=1 << 18):
-            found = [both.document(t) for t in text_rows(batch)]
+            found = both.documents(text_rows(batch))
             counts = [pa.array([sum(getattr(x, c) for x in chunks) for chunks in found], pa.int64()) for c in names[1:5]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([";".join([x.text for x in chunks]) for chunks in found])], names)
 
@@ -245,15 +317,13 @@ def _blocks(docs: DataFrame, path_a: str | None, path_b: str | None, block_bytes
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *rows, pa.array([codes[by_use]], pa.list_(pa.int64())), pa.array([times[by_use]], pa.list_(pa.int64())), pa.array([planes.tobytes()], pa.binary())], [c.split()[0] for c in _BLOCK.split(", ")])
 
         for batch in small_batches(batches, limit=1 << 18):
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_rows(batch), strict=True):
-                chunks = both.document(text)
-                n_a = n_b = n_groups = n_links = 0
-                for x in chunks:
-                    n_a, n_b, n_groups, n_links = n_a + x.n_a, n_b + x.n_b, n_groups + x.n_groups, n_links + x.n_links
-                digest = hashlib.sha256(";".join([x.text for x in chunks]).encode()).hexdigest() if chunks else ""
-                for column, value in zip(columns, (doc_id, n_a, n_b, n_groups, n_links, digest), strict=True):
+            texts = text_rows(batch)
+            for doc_id, text, chunks in zip(batch.column(0).to_pylist(), texts, both.documents(texts), strict=True):
+                *counts, told, packed = zip(*chunks, strict=True) if chunks else ((),) * 6
+                digest = hashlib.sha256(";".join(told).encode()).hexdigest() if chunks else ""
+                for column, value in zip(columns, (doc_id, *map(sum, counts), digest), strict=True):
                     column.append(value)
-                links += [x.links for x in chunks]
+                links.append(b"".join(packed))
                 size += len(text or b"")
                 if size >= block_bytes or len(columns[0]) >= 100_000:
                     yield block()

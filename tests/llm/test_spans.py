@@ -116,7 +116,7 @@ def test_alignment_is_what_byte_ranges_say():
     aligned = 0
     for text in texts:
         want = brute_alignment(text)
-        got = token_align.aligner().document(None if text is None else text.encode())
+        (got,) = token_align.aligner().documents([None if text is None else text.encode()])
         if want is None:
             assert got == []
             continue
@@ -126,6 +126,8 @@ def test_alignment_is_what_byte_ranges_say():
         assert sorted(zip((codes >> 32).tolist(), (codes & 0xFFFFFFFF).tolist(), strict=True)) == sorted(want[3])
         assert (sum(x.n_a for x in got), sum(x.n_b for x in got)) == want[:2]
     assert aligned > 1_000
+    together = token_align.Aligner(*token_align.default_paths()).documents([t.encode() if t is not None else None for t in texts])
+    assert together == [token_align.aligner().documents([t.encode() if t is not None else None])[0] for t in texts]
 
 
 @pytest.mark.parametrize("block_bytes", [200, 1 << 20])
