@@ -311,7 +311,7 @@ def check_value(rule: FieldRule, value: str | None, today: datetime.date) -> lis
     if not value:
         return [f"{rule.name}_thieu"] if rule.required else []
     out = []
-    if rule.regex and not re.fullmatch(rule.regex, value):
+    if rule.pattern and not rule.pattern.fullmatch(value):
         out.append(f"{rule.name}_sai_dinh_dang")
     if rule.min_len and len(value) < rule.min_len:
         out.append(f"{rule.name}_qua_ngan")
@@ -348,8 +348,7 @@ def extract_document(lines: list[Line], rules: DocumentRules, codes: dict[str, s
             warnings += check_value(rule, value, today)
             continue
         found = TAKES[rule.take](page, rule) if rule.take in TAKES else None
-        if rule.regex:
-            pattern = re.compile(rule.regex)
+        if pattern := rule.pattern:
             if found is None or not pattern.fullmatch(T.post_process(found.text, rule.type, rule.normalize)):
                 found = _by_pattern(page, rule, pattern) or found
         if found is None:

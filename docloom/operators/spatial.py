@@ -8,7 +8,6 @@ shuffle either and take a second.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -97,7 +96,9 @@ def by_pattern(docs: DataFrame, rule: FieldRule) -> DataFrame:
     """(doc_id, value): the first line, or word of a line, that is what the rule's pattern asks for."""
 
     def answer(page: Page) -> list[tuple]:
-        pattern = re.compile(rule.regex)
+        pattern = rule.pattern
+        if pattern is None:
+            return []
         for line in page.lines:
             for text in (line.text, *line.text.split()):
                 value = post_process(text, rule.type, rule.normalize)

@@ -187,7 +187,7 @@ def _is_of(parsed: Column, rules: DocumentRules) -> Column:
     if number is None:
         return parsed.isNotNull()
     value = F.try_element_at(parsed, F.lit("idNumber"))
-    return F.coalesce(T.full_match(value, number.regex) if number.regex else value != "", F.lit(False))
+    return F.coalesce(T.full_match(value, number.regex) if number.pattern else value != "", F.lit(False))
 
 
 def parse(payloads: Column, texts: Column, rules: Iterable[DocumentRules] | None = None) -> Column:
