@@ -188,7 +188,7 @@ def filter_rows(docs: DataFrame, keep: Callable[[list[bytes | None]], np.ndarray
 
     The text is found by its place, so names that clash or differ in case do no harm.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     at = docs.columns.index(actual(docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +239,20 @@ except (OSError, AttributeError):  # another C library: nothing to ask
     _LIBC = None
 
 
+#: Bytes of an Arrow batch between the JVM and a worker: texts differ in size, and Spark's ten thousand rows of long ones are held three times over by each task.
+ARROW_BYTES = 2 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Ship the package to the executors, and bound the session's Arrow batches by bytes, unless they have a lower bound."""
+    ship(spark)
+    now = (spark.conf.get(_ARROW, None) or "").removesuffix("b")  # nothing where Spark does not know the setting
+    if now and not (now.isdigit() and 0 < int(now) <= ARROW_BYTES):
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
+
+
 def as_binary(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Only the id and the text's UTF-8 bytes; every other column is pruned from the scan."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     return docs.select(quoted(id_column).cast("long").alias("doc_id"), quoted(text_column).cast("binary").alias("text"))

@@ -21,9 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.shipping import ship
-
-from .common import filter_rows, quoted, save, small_batches, spare
+from .common import filter_rows, quoted, ready, save, small_batches, spare
 
 LEAST_RUN = 5
 COVERAGE = 0.8
@@ -266,7 +264,7 @@ def _batch_findings(texts: list[bytes | None], block: Block, run: int, coverage:
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, run: int, coverage: float, block_bytes: int):
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     for block in blocks_of(benchmark, run, block_bytes):
         yield docs.sparkSession.sparkContext.broadcast(block)
 

@@ -19,9 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docloom.shipping import ship
-
-from .common import decoded, map_rows, quoted, small_batches, without
+from .common import decoded, map_rows, quoted, ready, small_batches, without
 from .dom import Node, describe, parse, text_of
 
 # ---------------------------------------------------------------- boosted trees
@@ -294,7 +292,7 @@ def extract(pages: DataFrame, extractor: Extractor | None = None, html: str = "h
     shuffled; a task holds a small batch of pages, or one long page.
     """
     spark = pages.sparkSession
-    ship(spark)
+    ready(spark)
     shared = spark.sparkContext.broadcast(extractor or train())
     others = without(pages, "text", "n_chars")
     kept = pages.select(*(quoted(c) for c in others))

@@ -26,9 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.shipping import ship
-
-from .common import ASCII_LOWER, partitions_for, quoted, save, small_batches
+from .common import ASCII_LOWER, partitions_for, quoted, ready, save, small_batches
 
 BLOCK_TOKENS = 1_250_000
 #: Bits of an n-gram's hash: of 10**12 n-grams, one in a million shares its count with another.
@@ -346,7 +344,7 @@ def score_documents(docs: DataFrame, prior: float = PRIOR, block_tokens: int = B
     Repeated rows count and are scored as often as they stand. With nothing to train on, all words
     are unknown; an empty table gives no rows. The model has n-grams of up to `order` (2 or more) words.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("binary").alias("text"))
     marked = rows.withColumn("held_out", held_out())
     parts = partitions_for(rows, 8 << 20)
