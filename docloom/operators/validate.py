@@ -73,7 +73,13 @@ def overall_confidence(fields: Column, weights: Column) -> Column:
     return F.when(total > 0, F.round(sums / total, 4)).otherwise(0.0)
 
 
-def overall_confidence_long(fields: DataFrame, weights: DataFrame) -> DataFrame:
-    """(doc_id, overall) of the long form, with weights(field, weight) broadcast: one shuffle, combined before it."""
-    w = F.coalesce("weight", F.lit(0.1))
-    return fields.join(F.broadcast(weights), "field", "left").groupBy("doc_id").agg(F.round(F.sum(w * F.col("confidence")) / F.sum(w), 4).alias("overall"))
+def overall_confidence_long(fields: DataFrame, weights: DataFrame, default: float = 0.1) -> DataFrame:
+    """(doc_id, overall) of the long form fields(doc_id, field, confidence), with weights(field, weight), a row for each field that rules name, broadcast.
+
+    One shuffle, combined before it. Sums and the quotient are decimals, so that no order of tasks
+    changes the last digit, and halves go up; a null confidence is 0.
+    """
+    exact = lambda c, kind: c.cast(f"decimal({kind})")
+    w, c = exact(F.coalesce("weight", F.lit(default)), "9,6"), exact(F.coalesce("confidence", F.lit(0.0)), "9,6")
+    sums = fields.join(F.broadcast(weights), "field", "left").groupBy("doc_id").agg(exact(F.sum(w * c), "20,12").alias("a"), exact(F.sum(w), "12,6").alias("b"))
+    return sums.select("doc_id", F.when(F.col("b") > 0, F.round(F.col("a") / F.col("b"), 4)).otherwise(0).cast("double").alias("overall"))

@@ -89,9 +89,15 @@ TD3 = """
 SELECT doc_id, 0 AS line_no, rpad('P<VNM' || name, 44, '<') AS text FROM zone
 UNION ALL SELECT doc_id, 1, number || d1 || 'VNM' || birth || d2 || CASE WHEN doc_id % 3 = 0 THEN 'M' ELSE 'F' END || expiry || d3 || lpad(CAST(doc_id AS STRING), 12, '0') || '<<<0' FROM zone WHERE doc_id % 11 <> 0"""
 
-_DEFINED = {"card": CARD, "card_line": f"SELECT * FROM ({CARD_LINES}) WHERE text IS NOT NULL", "qr_payload": PAYLOADS, "zone": ZONES, "td1_line": TD1, "td3_line": TD3}
-_TABLES = {"card": ["orders"], "card_line": ["orders"], "qr_payload": ["customer"], "zone": ["supplier"], "td1_line": ["supplier"], "td3_line": ["supplier"]}
-_NEEDS = {"card_line": ["card"], "td1_line": ["zone"], "td3_line": ["zone"]}
+#: What comes with a card's lines: the code of a third of them (its customer's), hints of all kinds, and now and then a poor image.
+REQUESTS = """
+SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN q.payload END AS payload,
+  CASE o_orderkey % 10 WHEN 0 THEN 'cmnd' WHEN 1 THEN 'cccd' WHEN 2 THEN 'gplx_pet' WHEN 3 THEN 'nonsense' WHEN 4 THEN 'cccd_chip_front' END AS hint, o_orderkey % 17 <> 0 AS quality_ok
+FROM orders LEFT JOIN qr_payload q ON q.doc_id = o_custkey"""
+
+_DEFINED = {"card": CARD, "card_line": f"SELECT * FROM ({CARD_LINES}) WHERE text IS NOT NULL", "qr_payload": PAYLOADS, "request": REQUESTS, "zone": ZONES, "td1_line": TD1, "td3_line": TD3}
+_TABLES = {"card": ["orders"], "card_line": ["orders"], "qr_payload": ["customer"], "request": ["orders", "customer"], "zone": ["supplier"], "td1_line": ["supplier"], "td3_line": ["supplier"]}
+_NEEDS = {"card_line": ["card"], "request": ["qr_payload"], "td1_line": ["zone"], "td3_line": ["zone"]}
 
 
 def with_views(*names: str) -> str:
@@ -126,3 +132,9 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def card_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lines) of the cards."""
     return _cards(spark, sf_dir).select("doc_id", F.col("lines").cast(LINES).alias("lines"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lines, payloads, hint, quality_ok): the cards with what comes with them."""
+    more = view(spark, sf_dir, "request").select("doc_id", F.array_compact(F.array("payload")).alias("payloads"), "hint", "quality_ok")
+    return card_documents(spark, sf_dir).join(more, "doc_id")
