@@ -23,6 +23,7 @@ import hashlib
 import json
 import re
 import string
+from array import array
 from collections.abc import Iterator
 from itertools import chain, pairwise
 from typing import NamedTuple
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import as_binary, partitions_for, save, small_batches, text_rows
 
 #: Chunks that a process remembers; then those that were not met since the last time are forgotten.
-REMEMBERED = 150_000
+REMEMBERED = 120_000
 #: Characters of chunks that are encoded together.
 TOGETHER = 1 << 15
 #: Chunks of up to so many characters are remembered.
@@ -220,40 +221,51 @@ class Aligner:
             i, j, k, m = i2, j2, k2, m2
         return out
 
-    def documents(self, texts: list[bytes | None]) -> list[list[Aligned]]:
-        """The chunks of each text; none for null, empty and invalid texts, and where tokens are not the text's bytes."""
-        split: list[list[str]] = []
+    def split(self, texts: list[bytes | None]) -> list[list[str]]:
+        """The chunks of space + text of each text; none for null, empty and invalid texts."""
+        out: list[list[str]] = []
         for text in texts:
             try:
-                split.append(self.chunks(" " + text.decode()) if text else [])
+                out.append(self.chunks(" " + text.decode()) if text else [])
             except UnicodeDecodeError:
-                split.append([])
+                out.append([])
+        return out
+
+    def table(self, split: list[list[str]]) -> dict[str, Aligned | None]:
+        """Each distinct chunk with what `align` makes of it."""
         if len(self._new) >= REMEMBERED:
             self._new, self._old = {}, self._new
         new, old = self._new, self._old
-        met = set(chain.from_iterable(split)) - new.keys()
-        parts = {c: self.parts(c) for c in met if c not in old}
-        todo = set(chain.from_iterable(parts.values())) - new.keys() - old.keys()
-        fresh = self.align(list(todo))
-        for chunk in met:
-            if chunk in old:
-                fresh[chunk] = old[chunk]
-            elif len(parts[chunk]) > 1:
-                found = [fresh[c] if c in fresh else new[c] if c in new else old[c] for c in parts[chunk]]
-                fresh[chunk] = None if None in found else joined(found)
-        new.update((c, x) for c, x in fresh.items() if len(c) <= SHORT)
-        out = []
-        for own in split:
-            found = [*map(new.get, own)]
-            if None in found:  # a long chunk, or one that cannot be aligned
-                found = [new.get(c) or fresh.get(c) for c in own]
-            out.append([] if None in found else found)
+        distinct = set(chain.from_iterable(split))
+        out = {c: new[c] for c in distinct if c in new}
+        missing = distinct.difference(new)
+        again = {c for c in missing if c in old}
+        parts = {c: self.parts(c) for c in missing.difference(old)}
+        wanted = set(chain.from_iterable(parts.values())).difference(new)
+        again.update(c for c in wanted if c in old)
+        fresh = {c: old[c] for c in again} | self.align([*wanted.difference(old)])
+        new.update(fresh if max(map(len, fresh), default=0) <= SHORT else {c: x for c, x in fresh.items() if len(c) <= SHORT})
+        get = lambda c: fresh[c] if c in fresh else new[c]
+        for chunk, own in parts.items():
+            if len(own) == 2:
+                fresh[chunk] = joined(get(own[0]), get(own[1]))
+                if len(chunk) <= SHORT:
+                    new[chunk] = fresh[chunk]
+        out.update((c, get(c)) for c in missing)
         return out
 
+    def documents(self, texts: list[bytes | None]) -> list[list[Aligned]]:
+        """The aligned chunks of each text; none where tokens are not the text's bytes."""
+        split = self.split(texts)
+        table = self.table(split)
+        found = ([*map(table.__getitem__, own)] for own in split)
+        return [[] if None in own else own for own in found]
+
 
-def joined(parts: list[Aligned]) -> Aligned:
-    *counts, texts, links = zip(*parts, strict=True)
-    return Aligned(*map(sum, counts), ";".join(texts), b"".join(links))
+def joined(x: Aligned | None, y: Aligned | None) -> Aligned | None:
+    if x is None or y is None:
+        return None
+    return Aligned(x.n_a + y.n_a, x.n_b + y.n_b, x.n_groups + y.n_groups, x.n_links + y.n_links, f"{x.text};{y.text}", x.links + y.links)
 
 
 def default_paths() -> tuple[str, str]:
@@ -293,43 +305,90 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
 
 # ---------------------------------------------------------------- counts over the corpus
 
-_BLOCK = "blk long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digests array<string>, pairs array<long>, times array<long>, links binary"
+_BLOCK = (
+    "blk long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digests array<string>, "
+    "n_chunks array<long>, chunks binary, sizes binary, places binary, pairs array<long>, times array<long>"
+)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """int32 by planes of bytes, the upper ones mostly zeros: they compress well."""
+    return np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).reshape(-1).view(np.int32)
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of consecutive stretches of values, which may be empty."""
+    total, ends = np.concatenate([[0], np.cumsum(values)]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return total[ends[1:]] - total[ends[:-1]]
+
+
+class _Block:
+    """Documents as numbers of the distinct chunks that they are made of; what is counted is counted once for a chunk."""
+
+    def __init__(self, number: int):
+        self.number, self.size = number, 0
+        self.ids: list = []
+        self.digests: list[str] = []
+        self.n_chunks: list[int] = []
+        self.flat = array("i")
+        self.kept: list[Aligned] = []
+        self.places: dict[str, int] = {}
+        self.told: dict[str, str] = {}
+
+    def add(self, doc_id: int | None, size: int, chunks: list[str], table: dict[str, Aligned | None]) -> None:
+        """A document of these chunks of the table; of none, if one of them is not aligned."""
+        fresh = set(chunks).difference(self.places)
+        if any(table[c] is None for c in fresh):
+            chunks = []
+        else:
+            for c in fresh:
+                self.places[c] = len(self.kept)
+                self.told[c] = table[c].text
+                self.kept.append(table[c])
+        self.flat.extend(map(self.places.__getitem__, chunks))
+        self.ids.append(doc_id)
+        self.n_chunks.append(len(chunks))
+        self.digests.append(hashlib.sha256(";".join(map(self.told.__getitem__, chunks)).encode()).hexdigest() if chunks else "")
+        self.size += size
+
+    def batch(self) -> pa.RecordBatch:
+        flat = np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
+        n_chunks = np.array(self.n_chunks, np.int64)
+        sizes = np.array([x.n_links for x in self.kept], np.int64)
+        counts = [_sums(np.array([getattr(x, c) for x in self.kept], np.int64)[flat], n_chunks) for c in ("n_a", "n_b", "n_groups", "n_links")]
+        codes, place = np.unique(np.frombuffer(b"".join([x.links for x in self.kept]), np.int64), return_inverse=True)
+        times = np.bincount(place, np.repeat(np.bincount(flat, minlength=len(sizes)), sizes), len(codes)).astype(np.int64)
+        by_use = np.argsort(-times, kind="stable")  # frequent pairs get small numbers
+        rank = np.empty(len(codes), np.int32)
+        rank[by_use] = np.arange(len(codes), dtype=np.int32)
+        lists = [pa.array([c], pa.list_(pa.int64())) for c in (self.ids, *counts)]
+        binaries = [pa.array([_packed(x)], pa.binary()) for x in (flat, sizes, rank[place])]
+        columns = [pa.array([self.number], pa.int64()), *lists, pa.array([self.digests], pa.list_(pa.string())), pa.array([self.n_chunks], pa.list_(pa.int64())), *binaries]
+        columns += [pa.array([c[by_use]], pa.list_(pa.int64())) for c in (codes, times)]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _BLOCK.split(", ")])
 
 
 def _blocks(docs: DataFrame, path_a: str | None, path_b: str | None, block_bytes: int) -> DataFrame:
-    """Aligned documents in blocks: the distinct pairs of a block with how often it has them, and its links as places among them."""
+    """Aligned documents in blocks: the distinct pairs of a block with how often it has them, and its chunks' links as places among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
-        number = TaskContext.get().partitionId() << 32
-        columns: list[list] = [[] for _ in range(6)]
-        links: list[bytes] = []
-        size = 0
-
-        def block() -> pa.RecordBatch:
-            codes, place, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True, return_counts=True)
-            by_use = np.argsort(-times, kind="stable")  # frequent pairs get small numbers, which pack well
-            rank = np.empty(len(codes), np.int32)
-            rank[by_use] = np.arange(len(codes), dtype=np.int32)
-            planes = np.ascontiguousarray(rank[place].view(np.uint8).reshape(-1, 4).T)
-            kinds = [*[pa.int64()] * 5, pa.string()]
-            rows = [pa.array([c], pa.list_(k)) for c, k in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *rows, pa.array([codes[by_use]], pa.list_(pa.int64())), pa.array([times[by_use]], pa.list_(pa.int64())), pa.array([planes.tobytes()], pa.binary())], [c.split()[0] for c in _BLOCK.split(", ")])
-
+        block = _Block(TaskContext.get().partitionId() << 32)
         for batch in small_batches(batches, limit=1 << 18):
             texts = text_rows(batch)
-            for doc_id, text, chunks in zip(batch.column(0).to_pylist(), texts, both.documents(texts), strict=True):
-                *counts, told, packed = zip(*chunks, strict=True) if chunks else ((),) * 6
-                digest = hashlib.sha256(";".join(told).encode()).hexdigest() if chunks else ""
-                for column, value in zip(columns, (doc_id, *map(sum, counts), digest), strict=True):
-                    column.append(value)
-                links.append(b"".join(packed))
-                size += len(text or b"")
-                if size >= block_bytes or len(columns[0]) >= 100_000:
-                    yield block()
-                    number, size, columns, links = number + 1, 0, [[] for _ in range(6)], []
-        if columns[0]:
-            yield block()
+            split = both.split(texts)
+            table = both.table(split)
+            for doc_id, text, chunks in zip(batch.column(0).to_pylist(), texts, split, strict=True):
+                block.add(doc_id, len(text or b""), chunks, table)
+                if block.size >= block_bytes or len(block.ids) >= 100_000:
+                    yield block.batch()
+                    block = _Block(block.number + 1)
+        if block.ids:
+            yield block.batch()
 
     return as_binary(docs).mapInArrow(run, _BLOCK)
 
@@ -365,11 +424,9 @@ def link_statistics(docs: DataFrame, path_a: str | None = None, path_b: str | No
         best = np.zeros(right.num_rows, np.int64)
         place = right.column("place").to_numpy()
         total[place], best[place] = right.column("total").to_numpy(), right.column("best").to_numpy()
-        (row,) = left.select(["doc_ids", "n_a", "n_b", "n_groups", "n_links", "digests", "links"]).to_pylist()
-        at = np.ascontiguousarray(np.frombuffer(row["links"], np.uint8).reshape(4, -1).T).reshape(-1).view(np.int32)
-        ends = np.cumsum([0, *row["n_links"]])
-        sums = [np.concatenate([[0], np.cumsum(x[at])]) for x in (best, total)]
-        n_best, count_sum = (s[ends[1:]] - s[ends[:-1]] for s in sums)
+        (row,) = left.to_pylist()
+        at, sizes, flat = (_unpacked(row[c]) for c in ("places", "sizes", "chunks"))
+        n_best, count_sum = (_sums(_sums(x[at], sizes)[flat], np.array(row["n_chunks"], np.int64)) for x in (best, total))
         columns = [row["doc_ids"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], n_best, count_sum, row["digests"]]
         return pa.table([pa.array(c, pa.string() if i == 7 else pa.int64()) for i, c in enumerate(columns)], names=[c.split()[0] for c in _STATISTICS.split(", ")])
 
