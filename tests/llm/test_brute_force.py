@@ -115,7 +115,7 @@ def test_flat_files_hold_ids_only(spark):
     flat = np.frombuffer(b"".join(r["data"] for r in blocks), "<u2").tolist()
     assert flat == [x for _, t, _ in ODD for x in [*theirs.encode_ordinary(t or ""), 50_256]]
     assert [r["doc_id"] for r in names.orderBy("ordinal").collect()] == [i for i, _, _ in ODD]
-    assert token_counts.id_width(1) == 2 and token_counts.id_width(1 << 16) == 4
+    assert token_counts.id_width(50_256) == 2 and token_counts.id_width(1 << 16) == 4
 
 
 # ---------------------------------------------------------------- 7
