@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions.pytext import key as python_key
 from docloom.operators import classify, evaluate, neighbours, orientation, spatial, structured, validate
+from docloom.operators import requests as request_operators
 from docloom.operators import response as response_operators
 from docloom.operators.extract import extract_fields, field_rows
 from docloom.operators.labels import label_spans
@@ -42,22 +43,6 @@ def _texts() -> F.Column:
 _TYPES = ", ".join(f"('{r.doc_type}', '{r.display_name}', {i}, {('NULL' if not r.family else repr(r.family))}, {str(r.ready).lower()}, '{r.version}', {len(r.fields)})" for i, r in enumerate(builtin_rules()))
 
 
-@query("doc_types", f"SELECT * FROM (VALUES {_TYPES}) AS t(doc_type, label, rank, family, ready, version, n_fields)")
-def doc_types(spark, sf_dir):
-    """The registry in its order."""
-    rules = builtin_rules()
-    n = field_table(spark, rules).groupBy("doc_type").agg(F.count("*").alias("n_fields"))
-    return type_table(spark, rules).join(F.broadcast(n), "doc_type").select("doc_type", F.col("display_name").alias("label"), "rank", "family", "ready", "version", "n_fields")
-
-
-@query("known_hints", "SELECT hint FROM (VALUES " + ", ".join(f"('{h}')" for h in sorted({r.doc_type for r in builtin_rules()} | {"cmnd", "cccd"})) + ") AS t(hint)")
-def known_hints(spark, sf_dir):
-    """T5."""
-    from docloom.operators.requests import known_hints as hints
-
-    return hints(type_table(spark, builtin_rules()))
-
-
 # ---------------------------------------------------------------- classification
 
 _ANCHORS = ", ".join(f"({i}, '{r.doc_type}', '{python_key(a)}')" for i, r in enumerate(builtin_rules()) for a in r.anchors)
@@ -116,6 +101,31 @@ def label_lookup(spark, sf_dir):
     return docs.join(F.broadcast(types), "doc_type", "left").select("doc_id", F.coalesce("display_name", "doc_type").alias("label"), F.coalesce("ready", F.lit(False)).alias("ready"))
 
 
+@query(
+    "doc_types",
+    _CLASSIFIED.replace("SELECT doc_id, CASE WHEN doc_type IS NULL", ", c AS (SELECT doc_id, CASE WHEN doc_type IS NULL", 1)
+    + f") SELECT t.*, CAST(coalesce(n, 0) AS BIGINT) AS n_documents FROM (VALUES {_TYPES}) AS t(doc_type, label, rank, family, ready, version, n_fields) LEFT JOIN (SELECT doc_type, count(*) AS n FROM c GROUP BY 1) USING (doc_type)",
+)
+def doc_types(spark, sf_dir):
+    """The registry in its order, with how many documents each type has."""
+    rules = builtin_rules()
+    fields = field_table(spark, rules).groupBy("doc_type").agg(F.count("*").alias("n_fields"))
+    found = card_documents(spark, sf_dir).groupBy(classify.classify(_texts())["doc_type"].alias("doc_type")).agg(F.count("*").alias("n"))
+    types = type_table(spark, rules).join(F.broadcast(fields), "doc_type").join(found, "doc_type", "left")
+    return types.select("doc_type", F.col("display_name").alias("label"), "rank", "family", "ready", "version", "n_fields", F.coalesce("n", F.lit(0)).cast("long").alias("n_documents"))
+
+
+@query(
+    "known_hints",
+    with_views("request") + "SELECT hint, CAST(coalesce(n, 0) AS BIGINT) AS n_requests FROM (VALUES " + ", ".join(f"('{h}')" for h in sorted({r.doc_type for r in builtin_rules()} | {"cmnd", "cccd"})) + ") AS t(hint) LEFT JOIN (SELECT hint, count(*) AS n FROM request GROUP BY hint) USING (hint)",
+)
+def known_hints(spark, sf_dir):
+    """T5: what a hint may name, with how many requests name it."""
+    named = view(spark, sf_dir, "request").where("hint IS NOT NULL").groupBy("hint").agg(F.count("*").alias("n"))
+    hints = request_operators.known_hints(type_table(spark, builtin_rules())).join(named, "hint", "left")
+    return hints.select("hint", F.coalesce("n", F.lit(0)).cast("long").alias("n_requests"))
+
+
 # ---------------------------------------------------------------- codes
 
 _PART = lambda i: f"nullif(nullif(trim(string_split(payload, '|')[{i + 1}]), ''), '-')"
