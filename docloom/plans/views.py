@@ -121,12 +121,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CARD_BYTES = 1 << 20
 
 
-def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lines) of the cards: an order is one card. One scan; only the few columns that cards are made from are dealt out."""
+def _cards(spark: SparkSession, sf_dir: str, more: DataFrame | None = None) -> DataFrame:
+    """(doc_id, lines, ...) of the cards: an order is one card. Only the few columns that cards are made from, and what comes with them, are dealt out."""
     card = view(spark, sf_dir, "card")
     size = int(str(card._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size, 1 << 50) // CARD_BYTES)
-    return card.repartition(parts).selectExpr("doc_id", f"filter({CARD_ARRAY}, o -> o.text IS NOT NULL) AS lines")
+    extra = [c for c in more.columns if c != "doc_id"] if more is not None else []
+    rows = card if more is None else card.join(more, "doc_id")
+    return rows.repartition(parts).selectExpr("doc_id", f"filter({CARD_ARRAY}, o -> o.text IS NOT NULL) AS lines", *extra)
 
 
 def card_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,4 +139,4 @@ def card_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lines, payloads, hint, quality_ok): the cards with what comes with them."""
     more = view(spark, sf_dir, "request").select("doc_id", F.array_compact(F.array("payload")).alias("payloads"), "hint", "quality_ok")
-    return card_documents(spark, sf_dir).join(more, "doc_id")
+    return _cards(spark, sf_dir, more).withColumn("lines", F.col("lines").cast(LINES))
