@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 from .common import as_binary, partitions_for, save, small_batches, text_rows
 
 #: Chunks that a process remembers; then those that were not met since the last time are forgotten.
-REMEMBERED = 120_000
+REMEMBERED = 100_000
 #: Characters of chunks that are encoded together.
 TOGETHER = 1 << 15
 #: Chunks of up to so many characters are remembered.
 SHORT = 64
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _SPACE = "▁"
 #: Put before a chunk that does not begin with a space: both tokenizers cut between the two, as they cut before the chunk in its text.
