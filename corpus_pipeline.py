@@ -37,6 +37,7 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similarity 0.8 or more (Jaccard, sets of five-word shingles) hold together, the one with the least doc_id stays.
 
+    SimHash's balls link first, each link verified; the set join adds similar pairs further apart than 2 bits.
     Null, empty and blank texts are one group. Rows that repeat a doc_id and its text are one
     document; rows with a null doc_id all stay, for nothing says which of them to drop.
     """

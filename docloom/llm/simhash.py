@@ -47,7 +47,12 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     A bit is set if more than half of the shingles' XXH64 values (seed 42) have it. Repeated shingles
     count as often as they occur; a text of fewer than `width` words is one shingle.
     """
-    rows = np.frombuffer(shingle_hashes(text, width), np.uint8).reshape(-1, 8)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: bytes) -> int:
+    """The signed 64-bit fingerprint of what `shingle_hashes` gives; 0 of none."""
+    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(rows), _ROWS):
         ones += np.unpackbits(rows[at : at + _ROWS], axis=1).sum(axis=0, dtype=np.int64)

@@ -1,4 +1,9 @@
-"""Near-duplicates by an exact set-similarity join: Jaccard 0.8 or more of the sets of 5-word shingles.
+"""Near-duplicates by SimHash and an exact set-similarity join: Jaccard 0.8 or more of the sets of 5-word shingles.
+
+First the balls of `simhash` (fingerprints of the same shingles, 2 or fewer bits apart) bring sets
+together, and exact verification follows: short texts and much repeated shingles can be that near and
+differ. What they link is one component from there on, and its members are not compared again. Similar
+sets may be 3 to 11 bits apart, so a join by prefixes then finds what the balls cannot reach.
 
 All sets are put in one order of shingles, rare ones first. If two sets of m and n shingles have a
 Jaccard similarity of p / q, they share at least p (m + n) / (p + q); so the first shingle that they
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, as_binary, give_back, save, small_batches, text_rows
 from .components import connected_components
-from .simhash import SEED, keep_least, named_groups, shingle_hashes
+from .simhash import SEED, ball_links, keep_least, majority, named_groups, shingle_hashes
 
 #: Rows are sampled to find frequent shingles: one in so many, whatever the size of the table.
 SAMPLE_EACH = 8
@@ -45,7 +50,11 @@ BROADCAST_ROWS = 100_000
 
 def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
     """The distinct shingles of a text as sorted signed hashes; all texts without words have one and the same shingle."""
-    return np.unique(np.frombuffer(shingle_hashes(text, width) or xxhash.xxh64_digest(b"", SEED), ">i8").astype(np.int64))
+    return _distinct(shingle_hashes(text, width))
+
+
+def _distinct(hashes: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(hashes or xxhash.xxh64_digest(b"", SEED), ">i8").astype(np.int64))
 
 
 def _bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -88,7 +97,7 @@ def frequent_shingles(docs: DataFrame, width: int = 5, most: int = 0) -> tuple[n
 
 
 def _firsts(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, least: Fraction) -> DataFrame:
-    """(doc_id, text_hash, fp, n, firsts, bits): the hash of each row's set, its size, the shingles that it emits, in order, and its bitmap."""
+    """(doc_id, text_hash, fp, n, firsts, bits, simhash): the hash of each row's set, its size, the shingles that it emits, in order, its bitmap, and the row's SimHash."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def first(shingles: np.ndarray) -> np.ndarray:
@@ -102,11 +111,13 @@ def _firsts(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=1 << 20):
-            sets = [shingle_set(t, width) for t in text_rows(batch)]
+            hashes = [shingle_hashes(t, width) for t in text_rows(batch)]
+            sets = [_distinct(h) for h in hashes]
             columns = [batch.column(0), batch.column(2), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([first(s) for s in sets], pa.list_(pa.int64())), pa.array([_bitmap(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "n", "firsts", "bits"])
+            columns.append(pa.array([majority(h) for h in hashes], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "n", "firsts", "bits", "simhash"])
 
-    return as_binary(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long, n long, firsts array<long>, bits array<long>")
+    return as_binary(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long, n long, firsts array<long>, bits array<long>, simhash long")
 
 
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -125,6 +136,18 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> Da
     return texts.mapInArrow(run, "fp long, shingles array<long>").dropDuplicates(["fp"])
 
 
+def _ball_candidates(rows: DataFrame) -> DataFrame:
+    """(src, dst) of sets in rows(fp, simhash): those of one fingerprint with its least set, and the least sets of fingerprints that the balls link."""
+    prints = save(rows.select("simhash", "fp").distinct(), "prints")
+    least = save(prints.groupBy("simhash").agg(F.min("fp").alias("least")), "least")
+    one = prints.withColumn("k", _salt("simhash")).join(least.withColumn("k", _salt("simhash")), ["simhash", "k"]).select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    linked = ball_links(least.select(F.col("simhash").alias("fp")))
+    for end, name in (("src", "a"), ("dst", "b")):
+        linked = linked.join(least.select(F.col("simhash").alias(end), F.col("least").alias(name)), end)
+    pairs = one.unionByName(linked.select("a", "b")).where("a != b")
+    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
 def _candidates(met: DataFrame, low: int, high: int | None, least: Fraction) -> DataFrame:
     """(src, dst) of members of one bucket that may be similar and are in two components; the earlier is at place low + 1 to high."""
     one = met.select("s", *(F.col(c).alias(f"{c}_1") for c in ("fp", "n", "left", "place", "component")), *(["largest"] if high is None else []))
@@ -187,7 +210,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, rows: DataFrame, width: int, least: Fraction) -> DataFrame:
-    """(node, component) of the sets in rows(fp, n, firsts, bits) that are similar to another."""
+    """(node, component) of the sets in rows(fp, n, firsts, bits, simhash) that are similar to another."""
     spark = docs.sparkSession
     emitted = rows.select("fp", "n", "firsts").dropDuplicates(["fp"]).select("fp", "n", F.posexplode("firsts").alias("at", "s")).select("s", "fp", "n", (F.col("n") - F.col("at")).alias("left"))
     bucket = Window.partitionBy("s")
@@ -197,13 +220,15 @@ def similar_components(docs: DataFrame, rows: DataFrame, width: int, least: Frac
     sets = spark.createDataFrame([], "fp long, shingles array<long>")
     links = spark.createDataFrame([], "src long, dst long")
     found = spark.createDataFrame([], "node long, component long")
-    for low, high in zip((0, *LEADERS), (*LEADERS, None), strict=True):
+    for low, high in [(None, None), *zip((0, *LEADERS), (*LEADERS, None), strict=True)]:
         with Scratch() as mine:  # of a round, the sets that it made and the links that it found stay
-            # Only buckets of more than one component have anything left to compare.
-            named = met.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-            open_ones = named.groupBy("s").agg(F.max("place").alias("most"), F.min("component").alias("a"), F.max("component").alias("b"), *([F.mode("component").alias("largest")] if high is None else []))
-            open_ones = open_ones.where((F.col("most") > low + 1) & (F.col("a") < F.col("b"))).drop("most", "a", "b")
-            pairs = save(_candidates(save(named.join(open_ones, "s"), "open"), low, high, least), "candidates")
+            if low is None:
+                pairs = save(_ball_candidates(rows), "candidates")
+            else:  # Only buckets of more than one component have anything left to compare.
+                named = met.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+                open_ones = named.groupBy("s").agg(F.max("place").alias("most"), F.min("component").alias("a"), F.max("component").alias("b"), *([F.mode("component").alias("largest")] if high is None else []))
+                open_ones = open_ones.where((F.col("most") > low + 1) & (F.col("a") < F.col("b"))).drop("most", "a", "b")
+                pairs = save(_candidates(save(named.join(open_ones, "s"), "open"), low, high, least), "candidates")
             pairs = save(_possible(pairs, maps, least), "pairs")
             if pairs.isEmpty():
                 continue

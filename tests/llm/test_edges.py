@@ -108,3 +108,17 @@ def test_lists_of_frequent_shingles_are_bounded(spark, monkeypatch):
     few, _ = similar.frequent_shingles(docs, most=2)
     assert len(few) == 2 and set(few) == set(keys[levels == 6])
     assert len(similar.frequent_shingles(docs, most=1)[0]) == 0
+
+
+def test_balls_link_and_are_verified(spark, monkeypatch):
+    """SimHash links an edited copy without the set join; what is 2 bits apart and not similar stays apart, with the join or without."""
+    words = [f"w{i}" for i in range(3_000)]
+    loop = "a b c d e f g h i " * 400
+    texts = [" ".join(words), " ".join([*words[:1_500], "changed", *words[1_501:]]), f"{loop} k l m n o p q r s t u v", f"{loop} z y x w v u t s r q p o"]
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    assert all((a ^ b).bit_count() <= 2 for a, b in (prints[:2], prints[2:])) and prints[0] != prints[1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()}
+    assert found() == {0: 0, 1: 0, 2: 2, 3: 3}
+    monkeypatch.setattr(similar, "_candidates", lambda met, *_: met.where("false").selectExpr("fp AS src", "fp AS dst"))
+    assert found() == {0: 0, 1: 0, 2: 2, 3: 3}
