@@ -10,8 +10,9 @@ group tokens whose byte ranges overlap are linked.
 Neither tokenizer joins what stands before white space that follows something else, or before punctuation
 that follows a letter, with what stands after: the byte-level pattern begins a match there, and no piece
 of the other has both (which its vocabulary tells; characters that some piece has there are no cuts). So
-the text is aligned chunk by chunk: white space and what follows it up to the next, and of those not seen
-before, words and the punctuation at their end apart. What was seen before is not aligned again.
+the text is aligned chunk by chunk: white space and what follows it up to the next, cut also where
+punctuation follows a letter. A block's distinct chunks are looked up once, and what was seen before is
+not aligned again.
 
 The counts of linked id pairs over the corpus come by one exchange: blocks of documents send each
 distinct pair once, with how often they have it, and the totals go back to the blocks that asked.
@@ -23,8 +24,7 @@ import hashlib
 import json
 import re
 import string
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, pairwise
 from typing import NamedTuple
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import as_binary, partitions_for, save, small_batches, text_rows
 
 #: Chunks that a process remembers; then those that were not met since the last time are forgotten.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 #: Characters of chunks that are encoded together.
 TOGETHER = 1 << 15
 #: Chunks of up to so many characters are remembered.
@@ -46,6 +46,8 @@ SHORT = 64
 BLOCK_BYTES = 2 << 20
 
 _SPACE = "▁"
+#: A letter, or a number that is no digit.
+_LETTER = re.compile(r"[^\W\d_]")
 #: Put before a chunk that does not begin with a space: both tokenizers cut between the two, as they cut before the chunk in its text.
 _BEFORE = " a"
 
@@ -84,7 +86,7 @@ class Pieces:
         pieces = [self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size())]
         self.bytes_of = {i: bytes([int(p[3:5], 16)]) if self.processor.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)}
         #: White space that some piece has after something else, and punctuation that some piece has after a letter.
-        self.joined = {y for p in pieces for x, y in pairwise(p.replace(_SPACE, " ")) if y.isspace() and not x.isspace() or x.isalpha() and not y.isalnum()}
+        self.joined = {y for p in pieces for x, y in pairwise(p.replace(_SPACE, " ")) if y.isspace() and not x.isspace() or _LETTER.match(x) and not y.isalnum()}
 
     def spans(self, text: str) -> tuple[list[int], np.ndarray]:
         """Ids, and (begin, end) of each in characters of space + text. Of a character's byte-fallback pieces, the last has its span, and those before are empty."""
@@ -140,26 +142,23 @@ class Aligner:
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         with open(path_a, encoding="utf-8") as spec:
             level = json.load(spec)["pre_tokenizer"]
-        kept = re.escape("".join(sorted(self.b.joined - {" "}))) + r"\x1c-\x1f"
-        space, other = rf"[^\S{kept}]\s*", rf"(?:\S+|[{kept}]\s*)"
+        kept = re.escape("".join(c for c in sorted(self.b.joined - {" "}) if c.isspace())) + r"\x1c-\x1f"
+        marks = re.escape("".join(c for c in string.punctuation if c not in self.b.joined))
+        mark = f"[{marks}]" if marks else "(?!)"
+        space, other = rf"[^\S{kept}]\s*", rf"(?:[^\s{marks}]+|[{kept}]\s*)"
         parts = level["type"] == "ByteLevel" and level["use_regex"] and " " not in self.b.joined
-        self._split = re.compile(rf"{space}{other}*|{other}+").findall if parts else None
-        self._marks = "".join(c for c in string.punctuation if c not in self.b.joined)
+        self._split = re.compile(rf"(?:{space}|{other}|{mark})(?:{other}|(?<!{_LETTER.pattern}){mark})*").findall if parts else None
         self._bytes = [[x.bytes_of.get(i, b"") for i in range(max(x.bytes_of) + 1)] for x in (self.a, self.b)]
         self._sizes = [np.array([*map(len, x)], np.int64) for x in self._bytes]
         #: Each id and what stands after it: in its group, and at its end.
         self._names = [[np.array([f"{i}{mark}" for i in range(len(x))], object) for mark in marks] for x, marks in zip(self._bytes, (",|", ",;"), strict=True)]
         self._new: dict[str, Aligned | None] = {}
         self._old: dict[str, Aligned | None] = {}
+        self._long: list[str] = []
 
     def chunks(self, spaced: str) -> list[str]:
         return self._split(spaced) if self._split else [spaced]
 
-    def parts(self, chunk: str) -> list[str]:
-        """A word and the punctuation at its end; else the chunk itself."""
-        word = chunk.rstrip(self._marks)
-        return [word, chunk[len(word) :]] if self._split and len(word) < len(chunk) and word[-1:].isalpha() else [chunk]
-
     def align(self, chunks: list[str]) -> dict[str, Aligned | None]:
         """Of chunks of space + text; None for those where a tokenizer's tokens are not its bytes.
 
@@ -231,43 +230,29 @@ class Aligner:
                 out.append([])
         return out
 
-    def table(self, split: list[list[str]]) -> dict[str, Aligned | None]:
-        """Each distinct chunk with what `align` makes of it."""
+    def table(self, chunks: Iterable[str]) -> dict[str, Aligned | None]:
+        """A table that has each of the distinct chunks with what `align` makes of it; it holds until the next call."""
+        for c in self._long:
+            del self._new[c]
         if len(self._new) >= REMEMBERED:
             self._new, self._old = {}, self._new
         new, old = self._new, self._old
-        distinct = set(chain.from_iterable(split))
-        out = {c: new[c] for c in distinct if c in new}
-        missing = distinct.difference(new)
-        again = {c for c in missing if c in old}
-        parts = {c: self.parts(c) for c in missing.difference(old)}
-        wanted = set(chain.from_iterable(parts.values())).difference(new)
-        again.update(c for c in wanted if c in old)
-        fresh = {c: old[c] for c in again} | self.align([*wanted.difference(old)])
-        new.update(fresh if max(map(len, fresh), default=0) <= SHORT else {c: x for c, x in fresh.items() if len(c) <= SHORT})
-        get = lambda c: fresh[c] if c in fresh else new[c]
-        for chunk, own in parts.items():
-            if len(own) == 2:
-                fresh[chunk] = joined(get(own[0]), get(own[1]))
-                if len(chunk) <= SHORT:
-                    new[chunk] = fresh[chunk]
-        out.update((c, get(c)) for c in missing)
-        return out
+        missing = set(chunks).difference(new)
+        again = {c: old[c] for c in missing if c in old}
+        fresh = self.align([*missing.difference(again)])
+        new.update(again)
+        new.update(fresh)
+        self._long = [c for c in fresh if len(c) > SHORT]
+        return new
 
     def documents(self, texts: list[bytes | None]) -> list[list[Aligned]]:
         """The aligned chunks of each text; none where tokens are not the text's bytes."""
         split = self.split(texts)
-        table = self.table(split)
+        table = self.table(chain.from_iterable(split))
         found = ([*map(table.__getitem__, own)] for own in split)
         return [[] if None in own else own for own in found]
 
 
-def joined(x: Aligned | None, y: Aligned | None) -> Aligned | None:
-    if x is None or y is None:
-        return None
-    return Aligned(x.n_a + y.n_a, x.n_b + y.n_b, x.n_groups + y.n_groups, x.n_links + y.n_links, f"{x.text};{y.text}", x.links + y.links)
-
-
 def default_paths() -> tuple[str, str]:
     import public_tokenizers
 
@@ -326,50 +311,35 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
-class _Block:
+def _block(number: int, ids: list[int | None], texts: list[bytes | None], both: Aligner) -> pa.RecordBatch:
     """Documents as numbers of the distinct chunks that they are made of; what is counted is counted once for a chunk."""
-
-    def __init__(self, number: int):
-        self.number, self.size = number, 0
-        self.ids: list = []
-        self.digests: list[str] = []
-        self.n_chunks: list[int] = []
-        self.flat = array("i")
-        self.kept: list[Aligned] = []
-        self.places: dict[str, int] = {}
-        self.told: dict[str, str] = {}
-
-    def add(self, doc_id: int | None, size: int, chunks: list[str], table: dict[str, Aligned | None]) -> None:
-        """A document of these chunks of the table; of none, if one of them is not aligned."""
-        fresh = set(chunks).difference(self.places)
-        if any(table[c] is None for c in fresh):
-            chunks = []
-        else:
-            for c in fresh:
-                self.places[c] = len(self.kept)
-                self.told[c] = table[c].text
-                self.kept.append(table[c])
-        self.flat.extend(map(self.places.__getitem__, chunks))
-        self.ids.append(doc_id)
-        self.n_chunks.append(len(chunks))
-        self.digests.append(hashlib.sha256(";".join(map(self.told.__getitem__, chunks)).encode()).hexdigest() if chunks else "")
-        self.size += size
-
-    def batch(self) -> pa.RecordBatch:
-        flat = np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
-        n_chunks = np.array(self.n_chunks, np.int64)
-        sizes = np.array([x.n_links for x in self.kept], np.int64)
-        counts = [_sums(np.array([getattr(x, c) for x in self.kept], np.int64)[flat], n_chunks) for c in ("n_a", "n_b", "n_groups", "n_links")]
-        codes, place = np.unique(np.frombuffer(b"".join([x.links for x in self.kept]), np.int64), return_inverse=True)
-        times = np.bincount(place, np.repeat(np.bincount(flat, minlength=len(sizes)), sizes), len(codes)).astype(np.int64)
-        by_use = np.argsort(-times, kind="stable")  # frequent pairs get small numbers
-        rank = np.empty(len(codes), np.int32)
-        rank[by_use] = np.arange(len(codes), dtype=np.int32)
-        lists = [pa.array([c], pa.list_(pa.int64())) for c in (self.ids, *counts)]
-        binaries = [pa.array([_packed(x)], pa.binary()) for x in (flat, sizes, rank[place])]
-        columns = [pa.array([self.number], pa.int64()), *lists, pa.array([self.digests], pa.list_(pa.string())), pa.array([self.n_chunks], pa.list_(pa.int64())), *binaries]
-        columns += [pa.array([c[by_use]], pa.list_(pa.int64())) for c in (codes, times)]
-        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _BLOCK.split(", ")])
+    split = both.split(texts)
+    distinct = dict.fromkeys(chain.from_iterable(split))
+    table = both.table(distinct)
+    bad = {c for c in distinct if table[c] is None}
+    if bad:  # a document of one such chunk has none
+        split = [own if bad.isdisjoint(own) else [] for own in split]
+        distinct = dict.fromkeys(chain.from_iterable(split))
+    *counted, told, links = zip(*map(table.__getitem__, distinct), strict=True) if distinct else [()] * 6
+    places = dict(zip(distinct, range(len(distinct)), strict=True))
+    n_chunks = np.array([*map(len, split)], np.int64)
+    flat = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), np.int32, int(n_chunks.sum()))
+    digests = []
+    for own in np.split(flat, np.cumsum(n_chunks)[:-1]):
+        digests.append(hashlib.sha256(";".join(map(told.__getitem__, own.tolist())).encode()).hexdigest() if len(own) else "")
+    counted = [np.array(c, np.int64) for c in counted]
+    counts = [_sums(c[flat], n_chunks) for c in counted]
+    sizes = counted[3]
+    codes, place = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
+    times = np.bincount(place, np.repeat(np.bincount(flat, minlength=len(sizes)), sizes), len(codes)).astype(np.int64)
+    by_use = np.argsort(-times, kind="stable")  # frequent pairs get small numbers
+    rank = np.empty(len(codes), np.int32)
+    rank[by_use] = np.arange(len(codes), dtype=np.int32)
+    lists = [pa.array([c], pa.list_(pa.int64())) for c in (ids, *counts)]
+    binaries = [pa.array([_packed(x)], pa.binary()) for x in (flat, sizes, rank[place])]
+    columns = [pa.array([number], pa.int64()), *lists, pa.array([digests], pa.list_(pa.string())), pa.array([n_chunks], pa.list_(pa.int64())), *binaries]
+    columns += [pa.array([c[by_use]], pa.list_(pa.int64())) for c in (codes, times)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _BLOCK.split(", ")])
 
 
 def _blocks(docs: DataFrame, path_a: str | None, path_b: str | None, block_bytes: int) -> DataFrame:
@@ -377,18 +347,20 @@ def _blocks(docs: DataFrame, path_a: str | None, path_b: str | None, block_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
-        block = _Block(TaskContext.get().partitionId() << 32)
+        number = TaskContext.get().partitionId() << 32
+        ids: list[int | None] = []
+        texts: list[bytes | None] = []
+        size = 0
         for batch in small_batches(batches, limit=1 << 18):
-            texts = text_rows(batch)
-            split = both.split(texts)
-            table = both.table(split)
-            for doc_id, text, chunks in zip(batch.column(0).to_pylist(), texts, split, strict=True):
-                block.add(doc_id, len(text or b""), chunks, table)
-                if block.size >= block_bytes or len(block.ids) >= 100_000:
-                    yield block.batch()
-                    block = _Block(block.number + 1)
-        if block.ids:
-            yield block.batch()
+            for doc_id, text in zip(batch.column(0).to_pylist(), text_rows(batch), strict=True):
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text or b"")
+                if size >= block_bytes or len(ids) >= 100_000:
+                    yield _block(number, ids, texts, both)
+                    number, ids, texts, size = number + 1, [], [], 0
+        if ids:
+            yield _block(number, ids, texts, both)
 
     return as_binary(docs).mapInArrow(run, _BLOCK)
 

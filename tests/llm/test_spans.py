@@ -155,6 +155,27 @@ def test_link_statistics(spark, block_bytes):
     assert groups[200] == "" and digest(groups[5].encode()) == next(w[7] for w in want if w[0] == 5) or not groups[5]
 
 
+def test_words_and_punctuation_are_aligned_once(monkeypatch):
+    """Chunks end where punctuation follows a letter, so a block aligns each word and each mark once; forgetting changes nothing, and long chunks are not kept."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcé²Ⅷ_1") for _ in range(rnd.randrange(1, 5)))
+    texts = ["".join(word() + rnd.choice([*" \n.,;!?'-_*/<()", "'s ", ", ", "...", "(", ' "', " \t"]) for _ in range(30)) for _ in range(300)] + ["x" * 200, "say foo;bar,baz!"]
+    both = token_align.Aligner(*token_align.default_paths())
+    assert both.chunks(" say foo;bar,baz!") == [" say", " foo", ";bar", ",baz", "!"]
+    seen = []
+    align = both.align
+    monkeypatch.setattr(both, "align", lambda chunks: seen.extend(chunks) or align(chunks))
+    token_align._block(0, [0, 1], [b"one, two! one! two,", b"two; one, two"], both)
+    assert sorted(seen) == sorted([" one", " two", ",", "!", ";"])
+    monkeypatch.setattr(token_align, "REMEMBERED", 20)
+    for text in texts:
+        want = brute_alignment(text)
+        (got,) = both.documents([text.encode()])
+        assert [(a, b) for x in got for a, b in x.groups] == (want[2] if want else [])
+    both.documents([b"short"])
+    assert not any(len(c) > token_align.SHORT for c in [*both._new, *both._old])
+
+
 def test_invalid_bytes_have_no_tokens(spark):
     frame = spark.sql("SELECT 1L AS doc_id, CAST(x'61ff62' AS STRING) AS text UNION ALL SELECT 2L, 'plain text'")
     assert {r["doc_id"]: r["n_a"] > 0 for r in token_align.link_statistics(frame).collect()} == {1: False, 2: True}
