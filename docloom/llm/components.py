@@ -7,24 +7,29 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, save
 
+#: The least neighbours of up to so many edges (16 bytes for each node) are broadcast; those of more are joined.
+BROADCAST_EDGES = 50_000
 
-def _with_least_neighbour(pairs: DataFrame) -> DataFrame:
-    """pairs(u, v) with m, the least of u and all its v.
+
+def _with_least_neighbour(pairs: DataFrame, few: bool) -> DataFrame:
+    """pairs(u, v) with m, the least of u and all its v; few: they may be broadcast, which saves the join's shuffle.
 
     The join has a second key, a function of the first: so neither side's partitioning is taken over
     from the aggregate, both are exchanged for the join, and Spark can split the partition of a hub
     at run time. The aggregate itself combines on the map side.
     """
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if few:
+        return pairs.join(F.broadcast(least), "u")
     salt = F.pmod(F.xxhash64("u"), F.lit(65_521))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).withColumn("k", salt)
-    return pairs.withColumn("k", salt).join(least, ["u", "k"]).drop("k")
+    return pairs.withColumn("k", salt).join(least.withColumn("k", salt), ["u", "k"]).drop("k")
 
 
-def _one_round(edges: DataFrame) -> DataFrame:
+def _one_round(edges: DataFrame, few: bool = False) -> DataFrame:
     """edges(u, v) with u > v, once through large star and small star."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _with_least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-    small = _with_least_neighbour(large)
+    large = _with_least_neighbour(both, few).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+    small = _with_least_neighbour(large if few else large.distinct(), few)
     linked = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
     return linked.where("u > v").distinct()
 
@@ -53,5 +58,5 @@ def _settled(links: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame
         if tuple(state) == seen or not state[0]:
             return edges
         seen = tuple(state)
-        edges = save(_one_round(edges), "links")
+        edges = save(_one_round(edges, state[0] <= BROADCAST_EDGES), "links")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -169,16 +169,19 @@ def _salt(c: str):
 def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(src, dst), a written table, with the other columns of sets(fp, ...), suffixed _1 for src and _2 for dst.
 
-    Of the sets only those that an end of a pair names are shuffled, where the names are few enough to broadcast;
-    else the join that looks them up has the partitioning of the one that follows, and costs no shuffle of its own.
+    Few pairs are broadcast to the sets of their src, and only the sets of their dst are shuffled, with the pairs'.
+    Of more, the join that looks up the sets which a pair names has the partitioning of the one that follows, and
+    costs no shuffle of its own.
     """
-    few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    named = [sets.select(F.col("fp").alias(end), *(F.col(c).alias(c + mark) for c in sets.columns if c != "fp")) for end, mark in (("src", "_1"), ("dst", "_2"))]
+    if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        one = named[0].join(F.broadcast(pairs), "src").withColumn("k", _salt("dst"))
+        two = named[1].join(F.broadcast(pairs.select("dst")), "dst", "left_semi").withColumn("k", _salt("dst"))
+        return one.join(two, ["dst", "k"]).drop("k")
     joined = pairs
-    for end, mark in (("src", "_1"), ("dst", "_2")):
-        named = sets.select(F.col("fp").alias(end), *(F.col(c).alias(c + mark) for c in sets.columns if c != "fp"), _salt("fp").alias("k"))
-        names = pairs.select(end).distinct()
-        named = named.join(F.broadcast(names), end, "left_semi") if few else named.join(names.withColumn("k", _salt(end)), [end, "k"], "left_semi")
-        joined = joined.withColumn("k", _salt(end)).join(named, [end, "k"]).drop("k")
+    for end, own in zip(("src", "dst"), named, strict=True):
+        names = pairs.select(end).distinct().withColumn("k", _salt(end))
+        joined = joined.withColumn("k", _salt(end)).join(own.withColumn("k", _salt(end)).join(names, [end, "k"], "left_semi"), [end, "k"]).drop("k")
     return joined
 
 

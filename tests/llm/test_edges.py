@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, common, decontaminate, html_extract, language_model, periodic_runs, similar, simhash, token_counts, toxicity
+from docloom.llm import bpe, common, components, decontaminate, html_extract, language_model, periodic_runs, similar, simhash, token_counts, toxicity
 
 
 @pytest.mark.parametrize("order", [2, 3, 4])
@@ -122,3 +122,39 @@ def test_balls_link_and_are_verified(spark, monkeypatch):
     assert found() == {0: 0, 1: 0, 2: 2, 3: 3}
     monkeypatch.setattr(similar, "_candidates", lambda met, *_: met.where("false").selectExpr("fp AS src", "fp AS dst"))
     assert found() == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_few_edges_cost_no_shuffle_join(spark):
+    """A round over few edges joins by broadcasts, and makes the same stars as one over many."""
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(150, 39)]
+    edges = spark.createDataFrame([(max(x), min(x)) for x in links], "u long, v long")
+    rounds = {few: components._one_round(edges, few) for few in (True, False)}
+    stars = {few: {tuple(r) for r in df.collect()} for few, df in rounds.items()}
+    assert stars[True] == stars[False]
+    broadcasts = {few: df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") for few, df in rounds.items()}
+    assert broadcasts == {True: 3, False: 0}  # the large star stands in the plan twice
+    assert {tuple(r) for r in components.connected_components(edges, "u", "v").collect()} == {(n, 1) for x in links for n in x}
+
+
+def test_few_pairs_and_many_give_the_same_rows(spark, monkeypatch):
+    """Both ways of looking up the sets of a pair's ends; a hub on either side."""
+    pairs = common.save(spark.createDataFrame([(1, i) for i in range(2, 30)] + [(i, 40) for i in range(2, 30)], "src long, dst long"))
+    sets = spark.createDataFrame([(i, [i, i * i]) for i in range(1, 50)], "fp long, shingles array<long>")
+    rows = lambda: sorted((r["src"], r["dst"], tuple(r["shingles_1"]), tuple(r["shingles_2"])) for r in similar._both(pairs, sets).collect())
+    few = rows()
+    assert few == sorted((a, b, (a, a * a), (b, b * b)) for a, b in [tuple(r) for r in pairs.collect()])
+    monkeypatch.setattr(similar, "BROADCAST_ROWS", 0)
+    assert rows() == few
+
+
+def test_the_driver_lets_go_between_rounds(spark):
+    """The driver's heap is collected as a whole when a block of scratch tables ends: before, it grew to its limit over many short jobs."""
+
+    def collected():
+        return sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before = collected()
+    for _ in range(2):
+        with common.Scratch():
+            common.save(spark.range(3)).count()
+    assert collected() >= before + 2
