@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, partitions_for, save, small_batches, text_rows
+from .common import as_binary, give_back, partitions_for, save, small_batches, text_rows
 
 #: Chunks that a process remembers; then those that were not met since the last time are forgotten.
 REMEMBERED = 250_000
@@ -245,6 +245,13 @@ class Aligner:
         self._long = [c for c in fresh if len(c) > SHORT]
         return new
 
+    def rest(self) -> None:
+        """Between tasks a worker idles on beside the executor's heap: it remembers only what was met since some was forgotten."""
+        for c in self._long:
+            del self._new[c]
+        self._long, self._old = [], {}
+        give_back()
+
     def documents(self, texts: list[bytes | None]) -> list[list[Aligned]]:
         """The aligned chunks of each text; none where tokens are not the text's bytes."""
         split = self.split(texts)
@@ -270,6 +277,13 @@ def aligner(path_a: str | None = None, path_b: str | None = None) -> Aligner:
     return _aligners[key]
 
 
+def forget() -> None:
+    """Let go of this process's aligners and what they remember; one is made again when it is asked for."""
+    if _aligners:
+        _aligners.clear()
+        give_back()
+
+
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, groups) of every row of docs(doc_id, text): groups is `a1,a2|b1;a3|b2,b3`, ids in order.
 
@@ -361,6 +375,8 @@ def _blocks(docs: DataFrame, path_a: str | None, path_b: str | None, block_bytes
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
             yield _block(number, ids, texts, both)
+        del ids, texts
+        both.rest()
 
     return as_binary(docs).mapInArrow(run, _BLOCK)
 
@@ -392,6 +408,7 @@ def link_statistics(docs: DataFrame, path_a: str | None = None, path_b: str | No
     told = asked.join(pair_totals(asked), "pair").select(F.col("blk").alias("asker"), "place", "total", "best").repartition(parts, "asker")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        forget()  # all is aligned: this worker may be one of those that did it
         total = np.zeros(right.num_rows, np.int64)
         best = np.zeros(right.num_rows, np.int64)
         place = right.column("place").to_numpy()

@@ -246,3 +246,19 @@ def test_multikey_quicksort():
         assert sorted(order.tolist()) == list(range(n))
         rows = [tuple(t[i] for t in tokens) for i in order.tolist()]
         assert rows == sorted(rows)
+
+
+def test_idle_workers_remember_little(monkeypatch):
+    """After a task only chunks met since the last forgetting stay, and after the last stage none; results are the same."""
+    monkeypatch.setattr(token_align, "REMEMBERED", 3)
+    both = token_align.Aligner(*token_align.default_paths())
+    texts = [b"one two three four", b"five six", b"one " + b"x" * 100]
+    first = [both.documents([t]) for t in texts]
+    assert both._old and both._long
+    both.rest()
+    assert not both._old and not both._long and all(len(c) <= token_align.SHORT for c in both._new)
+    assert [both.documents([t]) for t in texts] == first
+    kept = token_align.aligner()
+    assert token_align.aligner() is kept
+    token_align.forget()
+    assert not token_align._aligners and token_align.aligner() is not kept
