@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, filter_rows, give_back, small_batches, text_rows
+from .common import as_binary, collect_driver, filter_rows, give_back, small_batches, text_rows
 from .decontaminate import _BASE, _CHUNK, _VALUE, _WORD, _mix, _power
 
 _U = np.uint64
+#: The driver gets what it learns from in so many parts, one after the other.
+PARTS = 16
+#: Terms that are counted and renumbered at once.
+_PART = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -81,7 +85,7 @@ def _distinct(texts: list[bytes | None], settings: Settings) -> tuple[np.ndarray
 
 @dataclass
 class Model:
-    """Weights of every bucket; those of buckets that training has not seen are 0."""
+    """Weights of every bucket; those of buckets that training has not seen are 0, and are not sent with it."""
 
     settings: Settings
     x: np.ndarray  # value of each bucket in a row that has it
@@ -89,6 +93,16 @@ class Model:
     w: np.ndarray
     v: np.ndarray
 
+    def __getstate__(self) -> tuple:
+        used = np.flatnonzero((self.x != 0) | (self.w != 0) | self.v.any(axis=1)).astype(np.int32)
+        return self.settings, self.bias, used, self.x[used], self.w[used], self.v[used]
+
+    def __setstate__(self, state: tuple) -> None:
+        self.settings, self.bias, used, *given = state
+        self.x, self.w, self.v = (np.zeros((1 << self.settings.bucket_bits, *a.shape[1:]), a.dtype) for a in given)
+        for all_of, a in zip((self.x, self.w, self.v), given, strict=True):
+            all_of[used] = a
+
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         row, bucket = _distinct(texts, self.settings)
         return 1 / (1 + np.exp(-np.clip(margins(row, bucket, len(texts), self.x, self.bias, self.w, self.v)[0], -40, 40)))
@@ -111,18 +125,27 @@ def margins(row: np.ndarray, bucket: np.ndarray, n: int, x: np.ndarray, bias: fl
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Model:
     """A model of all buckets from each row's distinct buckets and its label; a constant one below 0.5 where there is one label only, or none."""
+    lengths = np.array([len(r) for r in rows], np.int64)
+    return fit_in_place(np.concatenate([np.zeros(0, np.uint32), *rows]).astype(np.uint32, copy=False), np.cumsum(lengths) - lengths, lengths, labels, settings)
+
+
+def fit_in_place(flat: np.ndarray, first: np.ndarray, lengths: np.ndarray, labels: np.ndarray, settings: Settings) -> Model:
+    """The same of rows whose buckets (32 bits, unsigned) are lengths[i] from flat[first[i]] on; flat is overwritten, for it is most of what the driver holds."""
     n, toxic, size = len(labels), int(labels.sum()), 1 << settings.bucket_bits
     if toxic in (0, n):
         return Model(settings, np.zeros(size, np.float32), -3.0, np.zeros(size, np.float32), np.zeros((size, 1), np.float32))
-    first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    flat = np.concatenate(rows)
-    seen = np.bincount(flat, minlength=size)
+    parts = [flat[at : at + _PART] for at in range(0, len(flat), _PART)]
+    seen = np.zeros(size, np.int64)
+    for part in parts:
+        seen += np.bincount(part, minlength=size)
     used = np.flatnonzero(seen)
     place = np.zeros(size, np.int32)
     place[used] = np.arange(len(used))
-    feature = place[flat]
-    del flat
+    feature = flat.view(np.int32)
+    for part in parts:
+        part[:] = place[part]
     x = (np.log((n + 1) / (seen[used] + 1)) / np.log(n + 1)).astype(np.float32)
+    del seen, place
 
     rng = np.random.default_rng(settings.seed)
     k, m, share = settings.factors, max(1, len(used)), toxic / n
@@ -146,9 +169,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Model
         order = rng.permutation(n)
         for at in range(0, n, batch_rows):
             batch = order[at : at + batch_rows]
-            lengths = first[batch + 1] - first[batch]
-            own = np.repeat(np.arange(len(batch)), lengths)
-            f = feature[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[batch], lengths)]
+            many = lengths[batch]
+            own = np.repeat(np.arange(len(batch)), many)
+            f = feature[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[batch], many)]
             margin, total = margins(own, f, len(batch), x, bias, w, v)
             error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels[batch]) * weight[batch]
             by_feature = np.argsort(f, kind="stable")  # the batch's terms, those of one bucket together
@@ -213,10 +236,18 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(packed, pa.binary())], ["doc_id", "toxic", "text_hash", "buckets"])
 
     rows = training_rows(docs, labels, settings).mapInArrow(run, "doc_id long, toxic int, text_hash long, buckets binary")
-    rows = rows.dropDuplicates(["doc_id", "text_hash"]).toArrow().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
-    buckets = [np.frombuffer(b.as_buffer(), "<u4") for b in rows["buckets"]]
-    model = fit(buckets, rows["toxic"].to_numpy().astype(float), settings)
-    del rows, buckets
+    flat, ids, toxic, lengths = bytearray(), [], [], []
+    for row in rows.dropDuplicates(["doc_id", "text_hash"]).repartition(PARTS).toLocalIterator():
+        flat += row["buckets"]
+        ids.append((row["doc_id"], row["text_hash"]))
+        toxic.append(row["toxic"])
+        lengths.append(len(row["buckets"]) // 4)
+    by = np.array(sorted(range(len(ids)), key=ids.__getitem__), np.int64)  # not the order in which rows happen to come
+    size = np.array(lengths, np.int64)
+    del ids, lengths
+    collect_driver(docs.sparkSession)  # the driver's Python has most while it fits, and its JVM nothing to do
+    model = fit_in_place(np.frombuffer(flat, "<u4"), (np.cumsum(size) - size)[by], size[by], np.array(toxic, float)[by], settings)
+    del flat
     give_back()
     return model
 

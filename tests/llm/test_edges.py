@@ -1,10 +1,13 @@
 """Cases at the edges of the operators: what is empty, null, invalid, repeated or clashes."""
 
 import hashlib
+import pickle
 import random
+import tracemalloc
 import zlib
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +63,33 @@ def test_a_text_that_does_not_fit_shuts_out_no_other(spark):
     assert sum(len(bytes(r["text"])) for r in learnt) <= 40_000
 
 
+def test_training_holds_its_terms_once():
+    """What the driver learns from is numbered anew in place, and counted part by part."""
+    rng = np.random.default_rng(5)
+    rows = list(rng.integers(0, 4_000, (40_000, 50)).astype("<u4"))
+    labels = (rng.random(len(rows)) < 0.2).astype(float)
+    tracemalloc.start()
+    try:
+        toxicity.fit(rows, labels, toxicity.Settings(bucket_bits=12, epochs=1, steps=1))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2 * sum(r.nbytes for r in rows)
+
+
+def test_a_model_is_sent_without_what_it_has_not_learnt(spark):
+    """It is the same where it arrives, and the same whatever partitions its rows came from."""
+    rows = [(i, f"plain words of the day w{i % 7}" + " vile slur" * (i % 5 == 0)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    sent = pickle.dumps(model)
+    assert len(sent) < 1 << 16
+    for other in (pickle.loads(sent), toxicity.train(docs.repartition(7), labels)):
+        assert other.settings == model.settings and other.bias == model.bias
+        assert all(np.array_equal(getattr(other, k), getattr(model, k)) for k in ("x", "w", "v"))
+
+
 def test_tables_belong_to_their_block(spark):
     """A block deletes its own tables, keeps what it says, and leaves those of other blocks and threads alone."""
 
