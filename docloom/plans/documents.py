@@ -59,8 +59,8 @@ score AS (SELECT doc_id, rank, doc_type, count(*) AS score FROM doc JOIN anchor
 @query("classify_anchor_score", _SCORED + "SELECT doc_id, doc_type, score FROM score")
 def classify_anchor_score(spark, sf_dir):
     """Anchors found in each document for each type that nothing excludes."""
-    docs = card_documents(spark, sf_dir)
-    scores = docs.select("doc_id", F.explode(classify.anchor_scores(classify.document_key(_texts()), builtin_rules())).alias("s"))
+    docs = card_documents(spark, sf_dir).select("doc_id", classify.document_key(_texts()).alias("key"))  # a column: each anchor looks into it
+    scores = docs.select("doc_id", F.explode(classify.anchor_scores(F.col("key"), builtin_rules())).alias("s"))
     return scores.where("s.score > 0").select("doc_id", "s.doc_type", F.col("s.score").cast("long").alias("score"))
 
 

@@ -49,13 +49,12 @@ CARD_LINES = " UNION ALL ".join(
     f"SELECT doc_id, {n} AS line_no, {text} AS text, CAST({x} + shift AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, CAST({w} AS DOUBLE) AS w, CAST({h} AS DOUBLE) AS h, CAST({c} AS DOUBLE) AS confidence FROM card"
     for n, (text, x, y, w, h, c) in enumerate(_CARD_LINES)
 )
-#: The same lines as one array of a card: what Spark reads, in one pass.
-CARD_ARRAY = "array({})".format(
-    ", ".join(
-        f"named_struct('line_no', {n}, 'text', {text}, 'x', CAST({x} + shift AS DOUBLE), 'y', CAST({y} AS DOUBLE), 'w', CAST({w} AS DOUBLE), 'h', CAST({h} AS DOUBLE), 'confidence', CAST({c} AS DOUBLE))"
-        for n, (text, x, y, w, h, c) in enumerate(_CARD_LINES)
-    )
-)
+_STRUCTS = [
+    f"named_struct('line_no', {n}, 'text', {text}, 'x', CAST({x} + shift AS DOUBLE), 'y', CAST({y} AS DOUBLE), 'w', CAST({w} AS DOUBLE), 'h', CAST({h} AS DOUBLE), 'confidence', CAST({c} AS DOUBLE))"
+    for n, (text, x, y, w, h, c) in enumerate(_CARD_LINES)
+]
+#: All lines of a card as one array, null texts too.
+CARD_ARRAY = f"array({', '.join(_STRUCTS)})"
 
 PAYLOADS = f"""
 SELECT c_custkey AS doc_id, CASE c_custkey % 6
@@ -109,7 +108,8 @@ def with_views(*names: str) -> str:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the tables of a folder; nothing is registered in the session."""
     if name == "card_line":
-        return _cards(spark, sf_dir).select("doc_id", F.inline("lines"))
+        card = view(spark, sf_dir, "card")  # exploded as it is made: of any other array Spark asks for the size first, and so makes it twice
+        return card.repartition(_parts(card)).selectExpr("doc_id", f"inline({CARD_ARRAY})").where("text IS NOT NULL")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES[name]}
     sql = with_views(name) + f"SELECT * FROM {name}"
     for t in tables:
@@ -121,14 +121,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CARD_BYTES = 1 << 20
 
 
+def _parts(card: DataFrame) -> int:
+    size = int(str(card._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(card.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size, 1 << 50) // CARD_BYTES)
+
+
 def _cards(spark: SparkSession, sf_dir: str, more: DataFrame | None = None) -> DataFrame:
     """(doc_id, lines, ...) of the cards: an order is one card. Only the few columns that cards are made from, and what comes with them, are dealt out."""
     card = view(spark, sf_dir, "card")
-    size = int(str(card._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size, 1 << 50) // CARD_BYTES)
     extra = [c for c in more.columns if c != "doc_id"] if more is not None else []
     rows = card if more is None else card.join(more, "doc_id")
-    return rows.repartition(parts).selectExpr("doc_id", f"filter({CARD_ARRAY}, o -> o.text IS NOT NULL) AS lines", *extra)
+    made = rows.repartition(_parts(card)).selectExpr("doc_id", f"{CARD_ARRAY} AS lines", *extra)
+    # Named twice, the array is made before it is filtered, by compiled code; under the lambda all of it would be interpreted.
+    return made.selectExpr("doc_id", "CASE WHEN size(lines) > 0 THEN filter(lines, o -> o.text IS NOT NULL) END AS lines", *extra)
 
 
 def card_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
