@@ -81,20 +81,39 @@ def fix_date_digits(text: Column) -> Column:
     return F.translate(text, "lLIioO", "111100")
 
 
-def _iso(text: Column, pattern: str) -> Column:
-    d, m, y = (fix_date_digits(F.regexp_extract(text, pattern, i)).try_cast("int") for i in (1, 2, 3))
-    ok = m.between(1, 12) & d.between(1, 31) & y.between(1900, 2100)
-    two = lambda n: F.lpad(n.cast("string"), 2, "0")
-    return F.when(ok, F.concat_ws("-", y.cast("string"), two(m), two(d)))
+def _iso(match: Column, pattern: str) -> Column:
+    """The date that a pattern's match, or a text, says; null where it is no date, or no match."""
+
+    def date(found: Column) -> Column:
+        d, m, y = (found[c] for c in "dmy")
+        two = lambda n: F.lpad(n.cast("string"), 2, "0")
+        return F.when(m.between(1, 12) & d.between(1, 31) & y.between(1900, 2100), F.concat_ws("-", y.cast("string"), two(m), two(d)))
+
+    return let(F.struct(*(fix_date_digits(F.regexp_extract(match, pattern, i)).try_cast("int").alias(c) for i, c in enumerate("dmy", 1))), date)
+
+
+def _dated(text: Column, find: Callable[[Column], Column]) -> Column:
+    """find(text) where the four digits stand that every pattern ends in; most lines have none."""
+    return F.when(text.rlike("[0-9]{4}"), find(text))
+
+
+def _matched(text: Column, pattern: str, otherwise: Callable[[], Column] | None = None) -> Column:
+    """The date of the first match of a pattern: the text is searched once, its parts are read from the match."""
+
+    def read(match: Column) -> Column:
+        found = F.when(match != "", _iso(match, pattern))
+        return found.otherwise(otherwise()) if otherwise else found
+
+    return let(F.regexp_extract(text, pattern, 0), read)
 
 
 def find_date(text: Column) -> Column:
-    return _iso(text, _COMPACT)
+    return _dated(text, lambda t: _matched(t, _COMPACT))
 
 
 def find_date_phrase(text: Column) -> Column:
     """The exact phrase decides if it stands there, even if what it says is no date."""
-    return F.when(text.rlike(_PHRASE), _iso(text, _PHRASE)).otherwise(_iso(text, _LOOSE))
+    return _dated(text, lambda t: _matched(t, _PHRASE, lambda: _matched(t, _LOOSE)))
 
 
 def to_iso(text: Column) -> Column:

@@ -2,7 +2,9 @@
 
 
 import pytest
+from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.plans import catalog, views
 
 SMALL = "/root/testdata/sf0.001"
@@ -24,3 +26,10 @@ def test_a_cards_lines_are_made_once(spark, name):
 
 def test_a_documents_key_is_made_once(spark):
     assert optimized(catalog.queries()["classify_anchor_score"](spark, SMALL)).count("array_join(") == 1
+
+
+def test_a_line_without_four_digits_is_searched_for_no_date(spark):
+    for find, most in ((T.find_date, 5), (T.find_date_phrase, 9)):  # the guard, and for each pattern the match and its three parts
+        said = str(find(F.col("t"))).lower()
+        assert "[0-9]{4}" in said
+        assert said.count("regexp_extract(") + said.count("rlike(") <= most
