@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Sequence
 from functools import lru_cache, reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from .pytext import RESIDENCE_WORDS
 
 _SPACE = r"(?U)\s+"
+#: Stands between words that are brought to their keys.
+BETWEEN = "\x01"
 
 
 @lru_cache(maxsize=1)
@@ -127,13 +130,44 @@ def collapse_spaces(text: Column) -> Column:
     return trim(F.regexp_replace(text, _SPACE, " "))
 
 
+#: All letters with diacritics that fold are in this range; what is out of it, most of a text, is told by one comparison.
+_ACCENTED = r"\u00C0-\u1EFF"
+
+
+@lru_cache(maxsize=1)
+def _spellings() -> tuple[dict[str, str], str]:
+    """Of each letter a class of all that fold to it, and a class of what words have that folds to nothing."""
+    of = dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "")
+    for letter, plain in zip(*_letters(), strict=True):
+        if plain.lower() in of:
+            of[plain.lower()] += letter
+    known = {*"".join(of.values()), "ß", "ẞ"}
+    silent = [c for c in map(chr, range(ord("À"), ord("ỹ") + 1)) if c not in known]
+    runs = [[c for _, c in run] for _, run in groupby(enumerate(silent), lambda at: ord(at[1]) - at[0])]
+    classes = {c: f"[{c}{c.upper()}[{_ACCENTED}&&[{letters}]]]" if letters else f"[{c}{c.upper()}]" for c, letters in of.items()}
+    return classes, f"[{_ACCENTED}&&[" + "".join(f"{run[0]}-{run[-1]}" for run in runs) + "]]"
+
+
+def spelled(key_letters: str, between: str) -> str:
+    """A pattern of the texts that fold to a key, with what may stand between its letters."""
+    return between.join(_spellings()[0].get(c, c) for c in key_letters)
+
+
+def _word_pattern(*keys: str) -> str:
+    silent = _spellings()[1] + "*+"
+    return silent + "(?:" + "|".join(spelled(k, silent) for k in keys) + ")" + silent
+
+
 def norm_sex(text: Column) -> Column:
-    words = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9A-Za-zÀ-ỹ]+)"), 1), key)
-    pairs = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.get(words, i - 1)).otherwise("").alias("before")))
-    female = lambda p: p["w"].isin("nu", "f", "female")
-    male = lambda p: p["w"].isin("nam", "m", "male") & ~((p["w"] == "nam") & (p["before"] == "viet"))
-    first = F.get(F.filter(pairs, lambda p: female(p) | male(p)), 0)
-    return F.when(first["w"].isin("nu", "f", "female"), F.lit("Nữ")).when(first["w"].isNotNull(), F.lit("Nam")).otherwise("")
+    """By the first word that says one; `nam` after `viet` is part of a country's name.
+
+    Letters are looked for in all their spellings, for to fold every line costs more than the search.
+    """
+    letter = "[0-9A-Za-zÀ-ỹ]"
+    says = f"(?<!{letter})(?:({_word_pattern('female', 'f', 'nu')})|({_word_pattern('male', 'm', 'nam')}))(?!{letter})"
+    country = f"(?<!{letter}){_word_pattern('viet')}[^0-9A-Za-zÀ-ỹ]++{_word_pattern('nam')}(?!{letter})"
+    first = lambda t: F.when(F.regexp_extract(t, says, 1) != "", F.lit("Nữ")).when(F.regexp_extract(t, says, 2) != "", F.lit("Nam")).otherwise("")
+    return F.when(text.rlike(says), let(F.regexp_replace(text, country, " "), first)).otherwise("")
 
 
 def sex_from_id(number: Column) -> Column:

@@ -1,9 +1,11 @@
 """What the queries' plans make, and how often: work that grew with the number of names for a value."""
 
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import pytext as P
 from docloom.functions import text as T
 from docloom.plans import catalog, views
 
@@ -33,3 +35,14 @@ def test_a_line_without_four_digits_is_searched_for_no_date(spark):
         said = str(find(F.col("t"))).lower()
         assert "[0-9]{4}" in said
         assert said.count("regexp_extract(") + said.count("rlike(") <= most
+
+
+def test_sex_is_found_without_folding(spark):
+    rnd = random.Random(3)
+    words = ["Nữ", "nu", "NỮ", "Nam", "nạm", "NAM", "Việt", "viet", "VIỆT", "m", "F", "fémale", "Malé", "x", "đực", "Nữ", "nữα", "7nam", "-", "Ω", "nämlich"]
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", "  ", "/", ": ", ""]) for _ in range(rnd.randrange(6))) for _ in range(600)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.norm_sex(F.col("t")).alias("sex"))
+    assert "translate(" not in str(T.norm_sex(F.col("t")))
+    got = rows.collect()
+    assert all(r["sex"] == P.norm_sex(r["t"]) for r in got), [tuple(r) for r in got if r["sex"] != P.norm_sex(r["t"])][:5]
+    assert {r["sex"] for r in got} == {"", "Nam", "Nữ"}
