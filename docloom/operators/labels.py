@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.pytext import key
-from docloom.functions.text import fold
+from docloom.functions.text import BETWEEN as _BETWEEN
+from docloom.functions.text import fold, spelled
 
 #: Fixed value: from so many characters on a label may differ by one edit, and be glued to what follows it.
 LONG = 5
-#: Stands between words that are brought to their keys.
-_BETWEEN = "\x01"
+#: What may stand between the letters of a key in its text: all that is no letter or digit, and letters that fold to nothing.
+_LOOSELY = "[^0-9A-Za-z]*?"
 #: An index of up to so many rows is sent to every executor; a larger one is joined like any table.
 BROADCAST_ROWS = 500_000
 
@@ -91,6 +92,36 @@ def label_matches(lines: DataFrame, labels: Iterable[str]) -> DataFrame:
     return met.where((F.col("_before") <= F.length("label") + 1) & ((F.col("_run") == F.col("label")) | near)).select(*own, "rank", "label", "span")
 
 
+def _label_pattern(label: str) -> str:
+    """Of the keys of a line's words: those that begin with a label, as `label_matches` has it."""
+    put = f"{_BETWEEN}*"
+    if len(label) < LONG:
+        return put.join(label) + f"(?:{_BETWEEN}|$)"
+    any_letter = "[0-9a-z]"
+    places = range(len(label))
+    near = [[*label[:i], any_letter, *label[i:]] for i in range(len(label) + 1)]
+    near += [[*label[:i], any_letter, *label[i + 1 :]] for i in places] + [[*label[:i], *label[i + 1 :]] for i in places]
+    edited = "|".join(sorted({put.join(letters) for letters in near}))
+    return f"{put.join(label)}|(?:{edited})(?:{_BETWEEN}|$)"
+
+
+def begins_with_label(text: Column, labels: Iterable[str]) -> Column:
+    """Whether a line begins with one of a few labels, without a join: for a field's labels, or a type's.
+
+    One edit leaves a half of a label as it is, so only lines that have a half of one, in any spelling, are brought to their words' keys.
+    """
+    keys = [k for k in dict.fromkeys(map(key, labels)) if k]
+    if not keys:
+        return F.lit(False)
+    halves = []
+    for k in keys:
+        first, second = spelled(k[: len(k) // 2], _LOOSELY), spelled(k[len(k) // 2 :], _LOOSELY)
+        halves += [f"^{_LOOSELY}{spelled(k, _LOOSELY)}"] if len(k) < LONG else [f"^{_LOOSELY}{first}", second]
+    plain = F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
+    exact = "^" + _BETWEEN + "*(?:" + "|".join(map(_label_pattern, keys)) + ")"
+    return plain.rlike("|".join(halves)) & word_keys(text).rlike(exact)
+
+
 def label_spans(docs: DataFrame, labels: Iterable[str]) -> DataFrame:
     """(doc_id, line_no, span) of every line: how many words at its beginning make the first fitting label up; 0 if none does."""
     lines = line_table(docs).select("doc_id", "at", "line_no", "text")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import pytext as P
 from docloom.functions import text as T
+from docloom.operators import labels, neighbours
+from docloom.operators.extract import LINES, prefix_span
 from docloom.plans import catalog, views
 
 SMALL = "/root/testdata/sf0.001"
@@ -46,3 +48,28 @@ def test_sex_is_found_without_folding(spark):
     got = rows.collect()
     assert all(r["sex"] == P.norm_sex(r["t"]) for r in got), [tuple(r) for r in got if r["sex"] != P.norm_sex(r["t"])][:5]
     assert {r["sex"] for r in got} == {"", "Nam", "Nữ"}
+
+
+def test_labels_by_pattern(spark):
+    rnd = random.Random(4)
+    names = ["Họ và tên", "Full name", "Ngày sinh", "Quê quán", "Giới tính", "Số", "Straße"]
+    texts = []
+    for _ in range(1500):
+        text = rnd.choice([*names, "Ngay sinh", "so", "ho/va/ten", "- Sô", "STRASSE"])
+        for _ in range(rnd.randrange(3)):
+            i = rnd.randrange(len(text) + 1)
+            text = text[:i] + rnd.choice(["", " ", "x", "Ă", "-", "/", "1", "ß"]) + text[i + rnd.randrange(2) :]
+        texts.append(text + rnd.choice(["", " x", ": 1", "y", " /"]))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for own in (names, ["Ngày sinh"], ["Số"], [""]):
+        keys = [k for k in map(P.key, own) if k]
+        want = lambda t: any(prefix_span([P.key(w) for w in t.replace("/", " ").split()], 0, k) for k in keys)  # noqa: E731, B023
+        got = rows.select("t", labels.begins_with_label(F.col("t"), own).alias("is")).collect()
+        assert [r["t"] for r in got if r["is"] != want(r["t"])] == []
+
+
+def test_lines_around_dates_are_not_shuffled(spark):
+    docs = spark.range(5).selectExpr("id AS doc_id", f"CAST(array() AS {LINES}) AS lines")
+    for frame in (neighbours.dates_after(docs, ["Ngày sinh"]), neighbours.places_after_dates(docs, ["Số"]), neighbours.names_before_dates(docs, ["Số"])):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
