@@ -10,7 +10,7 @@ import logging
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from importlib import resources
 from pathlib import Path
 
@@ -53,7 +53,7 @@ class FieldRule:
         """The compiled regex; None where there is none, or a broken one, which asks for nothing."""
         return compiled(self.regex) if self.regex else None
 
-    @property
+    @cached_property
     def label_keys(self) -> tuple[str, ...]:
         return tuple(k for k in map(key, self.labels) if k)
 
@@ -81,6 +81,10 @@ class DocumentRules:
     field_weights: dict[str, float] = field(default_factory=dict)
     cross_checks: tuple[tuple[str, str, str], ...] = ()
 
+    @cached_property
+    def all_label_keys(self) -> tuple[str, ...]:
+        return tuple(k for f in self.fields for k in f.label_keys)
+
     def problems(self) -> list[str]:
         """What is wrong with these rules, though they can be used: patterns that do not compile."""
         return [f"{self.doc_type}.{f.name}: broken pattern {f.regex!r}" for f in self.fields if f.regex and f.pattern is None]

@@ -1,15 +1,18 @@
 """What the queries' plans make, and how often: work that grew with the number of names for a value."""
 
+import datetime
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import pytext as P
 from docloom.functions import text as T
-from docloom.operators import labels, neighbours
+from docloom.operators import extract, labels, neighbours
 from docloom.operators.extract import LINES, prefix_span
 from docloom.plans import catalog, views
+from docloom.sources.rules import builtin_rules
 
 SMALL = "/root/testdata/sf0.001"
 CARD_TITLE = "HỘ CHIẾU"
@@ -73,3 +76,25 @@ def test_lines_around_dates_are_not_shuffled(spark):
     for frame in (neighbours.dates_after(docs, ["Ngày sinh"]), neighbours.places_after_dates(docs, ["Số"]), neighbours.names_before_dates(docs, ["Số"])):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_text_is_read_once_for_all_documents(monkeypatch):
+    texts = ["Họ và tên: NGUYỄN VĂN MẪU", "Ngày sinh: 01/02/1990", "Quê quán once more"]
+    asked = []
+    monkeypatch.setattr(extract.T, "clean_token", lambda t, real=P.clean_token: asked.append(t) or real(t))
+    rules = next(r for r in builtin_rules() if r.doc_type == "cccd_chip_front")
+    pages = pa.array([[{"text": t, "x": 1.0, "y": None, "w": 5.0, "h": 2.0, "confidence": None, "line_no": 7} for t in [*texts, None]] + [None], None, []] * 3, pa.list_(pa.struct([("line_no", pa.int32()), ("text", pa.string()), *((c, pa.float64()) for c in ("x", "y", "w", "h", "confidence"))])))
+    read = [*extract.page_lines(pages)]
+    assert [[o.no for o in p] for p in read] == [[0, 1, 2, 3], [], []] * 3
+    assert (read[0][3].text, read[0][0].y, read[0][0].confidence) == ("", 0.0, 1.0)
+    found = [extract.extract_document(p, rules, {}, datetime.date(2020, 1, 1)) for p in read]
+    assert found[0] == found[3] and found[0] == extract.extract_document([extract.read_line(i, o) for i, o in enumerate(pages[0].as_py()[:-1])], rules, {}, datetime.date(2020, 1, 1))
+    assert asked and len(asked) == sum(len(t.replace("/", " ").split()) for t in texts)
+
+
+def test_what_is_remembered_of_texts_is_bounded(monkeypatch):
+    monkeypatch.setattr(extract, "REMEMBERED", 3)
+    for i in range(20):
+        extract.facts_of(f"text {i}")["a"] = i
+    assert extract.facts_of("text 19") == {"a": 19} and extract.facts_of("text 1") == {}
+    assert len(extract._new) <= 3 and len(extract._old) <= 3
