@@ -24,6 +24,7 @@ import hashlib
 import json
 import re
 import string
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import chain, pairwise
 from typing import NamedTuple
@@ -137,6 +138,22 @@ class Aligned(NamedTuple):
         return [tuple([*map(int, ids.split(","))] for ids in group.split("|")) for group in self.text.split(";")]
 
 
+_HEAD = struct.Struct("<4I")
+
+
+def _put(x: Aligned | None) -> bytes | None:
+    """As one value, half the size of a tuple of strings: what hundreds of thousands of chunks are remembered as."""
+    return x and _HEAD.pack(*x[:4]) + x.links + x.text.encode()
+
+
+def _got(value: bytes | None) -> Aligned | None:
+    if value is None:
+        return None
+    *counts, n_links = _HEAD.unpack_from(value)
+    end = _HEAD.size + 8 * n_links
+    return Aligned(*counts, n_links, value[end:].decode(), value[_HEAD.size : end])
+
+
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
@@ -152,8 +169,8 @@ class Aligner:
         self._sizes = [np.array([*map(len, x)], np.int64) for x in self._bytes]
         #: Each id and what stands after it: in its group, and at its end.
         self._names = [[np.array([f"{i}{mark}" for i in range(len(x))], object) for mark in marks] for x, marks in zip(self._bytes, (",|", ",;"), strict=True)]
-        self._new: dict[str, Aligned | None] = {}
-        self._old: dict[str, Aligned | None] = {}
+        self._new: dict[str, bytes | None] = {}
+        self._old: dict[str, bytes | None] = {}
         self._long: list[str] = []
 
     def chunks(self, spaced: str) -> list[str]:
@@ -230,8 +247,8 @@ class Aligner:
                 out.append([])
         return out
 
-    def table(self, chunks: Iterable[str]) -> dict[str, Aligned | None]:
-        """A table that has each of the distinct chunks with what `align` makes of it; it holds until the next call."""
+    def table(self, chunks: Iterable[str]) -> dict[str, bytes | None]:
+        """A table that has each of the distinct chunks with what `align` makes of it, put as one value; it holds until the next call."""
         for c in self._long:
             del self._new[c]
         if len(self._new) >= REMEMBERED:
@@ -239,7 +256,7 @@ class Aligner:
         new, old = self._new, self._old
         missing = set(chunks).difference(new)
         again = {c: old[c] for c in missing if c in old}
-        fresh = self.align([*missing.difference(again)])
+        fresh = {c: _put(x) for c, x in self.align([*missing.difference(again)]).items()}
         new.update(again)
         new.update(fresh)
         self._long = [c for c in fresh if len(c) > SHORT]
@@ -256,7 +273,7 @@ class Aligner:
         """The aligned chunks of each text; none where tokens are not the text's bytes."""
         split = self.split(texts)
         table = self.table(chain.from_iterable(split))
-        found = ([*map(table.__getitem__, own)] for own in split)
+        found = ([_got(table[c]) for c in own] for own in split)
         return [[] if None in own else own for own in found]
 
 
@@ -334,17 +351,21 @@ def _block(number: int, ids: list[int | None], texts: list[bytes | None], both:
     if bad:  # a document of one such chunk has none
         split = [own if bad.isdisjoint(own) else [] for own in split]
         distinct = dict.fromkeys(chain.from_iterable(split))
-    *counted, told, links = zip(*map(table.__getitem__, distinct), strict=True) if distinct else [()] * 6
+    values = [*map(table.__getitem__, distinct)]
+    counted = [*np.frombuffer(b"".join([v[: _HEAD.size] for v in values]), np.uint32).reshape(-1, 4).T.astype(np.int64)]
+    ends = (_HEAD.size + 8 * counted[3]).tolist()
+    links = b"".join([v[_HEAD.size : end] for v, end in zip(values, ends, strict=True)])
+    told = [v[end:] for v, end in zip(values, ends, strict=True)]
+    del values
     places = dict(zip(distinct, range(len(distinct)), strict=True))
     n_chunks = np.array([*map(len, split)], np.int64)
     flat = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), np.int32, int(n_chunks.sum()))
     digests = []
     for own in np.split(flat, np.cumsum(n_chunks)[:-1]):
-        digests.append(hashlib.sha256(";".join(map(told.__getitem__, own.tolist())).encode()).hexdigest() if len(own) else "")
-    counted = [np.array(c, np.int64) for c in counted]
+        digests.append(hashlib.sha256(b";".join(map(told.__getitem__, own.tolist()))).hexdigest() if len(own) else "")
     counts = [_sums(c[flat], n_chunks) for c in counted]
     sizes = counted[3]
-    codes, place = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
+    codes, place = np.unique(np.frombuffer(links, np.int64), return_inverse=True)
     times = np.bincount(place, np.repeat(np.bincount(flat, minlength=len(sizes)), sizes), len(codes)).astype(np.int64)
     by_use = np.argsort(-times, kind="stable")  # frequent pairs get small numbers
     rank = np.empty(len(codes), np.int32)
@@ -403,7 +424,7 @@ def link_statistics(docs: DataFrame, path_a: str | None = None, path_b: str | No
     """
     rows = as_binary(docs)
     parts = partitions_for(rows, 8 << 20)
-    blocks = save(_blocks(rows, path_a, path_b, block_bytes), "blocks")
+    blocks = save(_blocks(rows, path_a, path_b, block_bytes), "blocks", rows_of=block_bytes)
     asked = blocks.select("blk", F.posexplode(F.arrays_zip("pairs", "times")).alias("place", "x")).select("blk", "place", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     told = asked.join(pair_totals(asked), "pair").select(F.col("blk").alias("asker"), "place", "total", "best").repartition(parts, "asker")
 

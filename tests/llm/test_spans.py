@@ -7,10 +7,11 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import periodic_runs, queries, suffixes, token_align
+from docloom.llm import common, periodic_runs, queries, suffixes, token_align
 from docloom.llm.periodic_runs import Run
 
 
@@ -262,3 +263,24 @@ def test_idle_workers_remember_little(monkeypatch):
     assert token_align.aligner() is kept
     token_align.forget()
     assert not token_align._aligners and token_align.aligner() is not kept
+
+
+def test_large_rows_are_written_in_small_row_groups(spark, monkeypatch):
+    """Forty rows of 500 kB that do not compress: before, all were held in one row group."""
+    monkeypatch.setattr(common, "ROW_GROUP", 2 << 20)
+    rows = spark.range(40, numPartitions=1).selectExpr("id", "array_join(transform(sequence(1, 8000), i -> sha2(string(id * 9000 + i), 256)), '') AS t")
+    groups = []
+    for large in (0, 1 << 20):
+        saved = common.save(rows, "large", rows_of=large)
+        files = [f.removeprefix("file://").removeprefix("file:") for f in saved.inputFiles()]
+        groups.append(sum(pq.ParquetFile(f).num_row_groups for f in files))
+        assert saved.count() == 40
+    assert groups[0] == 1 and groups[1] >= 4
+
+
+def test_remembered_chunks_are_single_values():
+    both = token_align.Aligner(*token_align.default_paths())
+    chunks = [" one", " zwei", " Wort\u0103"]
+    made, table = both.align(chunks), both.table(chunks)
+    assert all(isinstance(table[c], bytes) and token_align._got(table[c]) == made[c] for c in chunks)
+    assert token_align._put(None) is None and token_align._got(None) is None
